@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, importance, language_id, license_scan, packing, quality_rules, token_counts
+from . import chat_format, decontaminate, importance, language_id, license_scan, packing, quality_rules, substring_dedup, token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.scan(table(spark, sf_dir, "documents")).drop("n_factors")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +80,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_quality_rules": op7_quality_rules,
@@ -86,6 +91,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
+    "op3_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
+removed AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
+  FROM windows JOIN firsts USING (g) WHERE first_doc < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN removed USING (doc_id, i) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+""",
     "op9_chat_format": chat_format.oracle(_EXTRA),
     "op10_decontamination": r"""
 WITH words AS (
