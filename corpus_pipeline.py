@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracequery.llm import decontaminate, packing, quality_rules, scratch
+from tracequery.llm import decontaminate, jaccard_join, packing, quality_rules, scratch, substring_dedup
 from tracequery.llm.queries import table, tokenizer_file
 
 
@@ -15,6 +15,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_docs(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that start in a document with a smaller id go."""
+    return substring_dedup.remove(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
@@ -27,6 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
     ("decontamination", decontamination),
     ("packing", pack),
 ]
