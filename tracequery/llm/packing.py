@@ -219,7 +219,7 @@ class Schedule:
                 given, left = given + gave, left - gave
         self.first = np.array(self.first, np.int64)
         self.given = np.array([*self.given, given], np.int64)
-        self.joint = np.array(self.joint, np.int64).reshape(-1, len(totals))
+        self.joint = np.array(self.joint, np.int64).reshape(len(self.sizes), len(totals))
 
     def _add(self, n: int, width: int, given: np.ndarray, joint: np.ndarray):
         self.given.append(given.copy())
