@@ -107,6 +107,8 @@ def test_errors(spark, tmp_path):
         wave(spark, write(tmp_path, head + f"#{1 << 63}\n1!\n"))
     with pytest.raises(LoadError):
         Engine(spark, str(tmp_path / "c")).load(str(tmp_path / "x.fst"))
+    with pytest.raises(LoadError):
+        Engine(spark, str(tmp_path / "c")).load(write(tmp_path, MULTI, "no.fst"))
 
 
 def test_engine(spark, tmp_path):
@@ -178,3 +180,156 @@ def test_live_stalls(spark, tmp_path):
     finally:
         q.stop()
     assert got == [(1, 3, 20, 17, "1"), (1, 20, 35, 15, "0")]
+
+
+def test_http_surface(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tracequery.surfaces import http_server
+
+    path = write(tmp_path, MULTI)
+    server = http_server(Engine(spark, str(tmp_path / "cache")), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def ask(where, body=None):
+        data = None if body is None else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + where, data)) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert ask("/health")[1]["status"] == "no_file_loaded"
+        assert ask("/query", {"signal": "clk", "start": 0, "end": 9})[0] == 400
+        assert ask("/load", {"path": path})[1]["signal_count"] == 2
+        assert ask("/load", {"path": path + "x"})[0] == 500
+        assert ask("/signals?pattern=clk&limit=5")[1]["signals"] == ["top.clk"]
+        assert len(ask("/query", {"signal": "top.clk", "start": 0, "end": 20})[1]["changes"]) == 5
+        assert ask("/query", {"signal": "nix_nix", "start": 0, "end": 20})[0] == 404
+        assert ask("/query", {"signal": "top.clk"})[0] == 400
+        assert ask("/query_cycles", {"signal": "data", "clock": "clk", "start_cycle": 1, "end_cycle": 1})[1]["start"] == 15
+        assert ask("/probe", {"signals": ["clk"], "start": 0, "end": 20})[1]["signals"][0]["change_count"] == 5
+        assert ask("/inspect", {"signals": ["clk"], "clock": "clk", "start_cycle": 0, "end_cycle": 0})[1]["end"] == 14
+        assert ask("/analyze", {"signal": "clk", "start": 0, "end": 20})[1]["toggle_count"] == 5
+        assert ask("/find_stall", {"signal": "data", "min_duration": 10})[1]["total_found"] == 2
+        assert ask("/last_activity", {"pattern": "data"})[1]["activities"][0]["last_change_time"] == 10
+        assert ask("/compare_points", {"signals": ["data"], "time_a": 5, "time_b": 10})[1]["changed_count"] == 1
+        assert ask("/nothing")[0] == 404
+        assert ask("/unload", {})[1]["previous_file"] == path
+    finally:
+        server.shutdown()
+
+
+def test_tool_surface_and_client(spark, tmp_path):
+    import io
+
+    from tracequery import surfaces
+
+    path = write(tmp_path, MULTI)
+    engine = Engine(spark, str(tmp_path / "cache"))
+    calls = [
+        ("wave_load", {"path": path}), ("wave_status", {}), ("wave_signals", {}), ("wave_query", {"signal": "clk", "start": 0, "end": 20, "max_changes": 2}), ("wave_hierarchy", {}),
+        ("wave_busy_tree", {"root": "top", "time": 5}), ("wave_find_deadlock", {"time": 5}), ("wave_trace_dependency", {"signal": "clk", "time": 5}), ("wave_find_event", {"signal": "clk", "value": "1", "edge": "rising"}),
+        ("wave_inspect", {"signals": ["clk", "data"]}), ("wave_query", {"signal": "nix_nix", "start": 0, "end": 1}), ("wave_unload", {}), ("nix", {}),
+    ]
+    lines = [json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": n, "arguments": a}}) for i, (n, a) in enumerate(calls)]
+    lines = [json.dumps({"jsonrpc": "2.0", "id": "a", "method": "initialize"}), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), json.dumps({"jsonrpc": "2.0", "id": "b", "method": "tools/list"}), *lines, "no json", json.dumps({"id": 9, "method": "x"})]
+    sink = io.StringIO()
+    surfaces.serve_tools(engine, lines, sink)
+    out = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert len(out) == len(lines) - 1 and len(out[1]["result"]["tools"]) == 16
+    got = [json.loads(x["result"]["content"][0]["text"]) for x in out[2:-2]]
+    assert got[0]["signal_count"] == 2 and got[3]["truncated"] and got[3]["total_changes"] == 5 and [e["time"] for e in got[8]["events"]] == [5, 15]
+    assert got[9]["signals"][0]["analysis"]["rising"] == 2 and "changes" not in got[9]["signals"][0]
+    assert "error" in got[10] and got[11]["previous_file"] == path and "error" in got[12]
+    assert out[-2]["error"]["code"] == -32700 and out[-1]["error"]["code"] == -32601
+    w = surfaces.Waveform(engine, path)
+    assert w.query("clk", 0, 20)["signal_id"] == 0 and surfaces.probe(engine, path, "clk")["signals"][0]["change_count"] == 5
+    assert surfaces.inspect(engine, path, "clk")["relations"] == []
+
+
+def varint(n):
+    out = b""
+    while n > 0x7F:
+        out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+    return out + bytes([n])
+
+
+def signed(n):
+    out = b""
+    while not -64 <= n < 64:
+        out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+    return out + bytes([n & 0x7F])
+
+
+def fst_file(pack, hierarchy, blocks):
+    """An FST file: clk (1 bit), data (8 bits), clk's alias, a real, a string; blocks of (frame, times, chains by handle)."""
+    import gzip
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    u64 = lambda *n: struct.pack(f">{len(n)}Q", *n)
+    block = lambda kind, body: bytes([kind]) + u64(len(body) + 8) + body
+    lz4 = lambda d: pa.Codec("lz4_raw").compress(d, asbytes=True)
+    head = u64(0, 20) + struct.pack("<d", 2.7182818284590452354) + u64(0, 2, 5, 4, len(blocks)) + struct.pack("b", -9) + b"writer".ljust(128, b"\0") + b"today".ljust(119, b"\0") + bytes([0]) + u64(0)
+    assert len(head) == 321
+    var = lambda tag, name, size, alias=0: bytes([tag, 1]) + name + b"\0" + varint(size) + varint(alias)
+    tree = bytes([254, 0]) + b"top\0\0" + var(16, b"clk", 1) + var(16, b"data", 8) + bytes([252, 0, 0]) + b"note\0" + varint(3) + bytes([253]) + bytes([254, 0]) + b"in\0\0" + var(16, b"clk2", 1, 1) + bytes([255]) + var(3, b"r", 64) + var(21, b"s", 0) + bytes([255])
+    geometry = varint(1) + varint(8) + varint(0) + varint(0xFFFFFFFF)
+    packed_geometry = zlib.compress(geometry)
+    geometry = block(3, u64(len(geometry), 4) + (packed_geometry if len(packed_geometry) < len(geometry) else geometry))
+    names = {"gz": block(4, u64(len(tree)) + gzip.compress(tree)), "lz4": block(6, u64(len(tree)) + lz4(tree))}
+    once = lz4(tree)
+    names["twice"] = block(7, u64(len(tree)) + varint(len(once)) + lz4(once))
+    out = block(0, head)
+    for frame, times, chains in blocks:
+        waves, table, at = pack.encode(), b"", 0
+        for chain in chains:
+            if chain is None:
+                table += varint(1 << 1)
+                continue
+            body = {"4": lz4, "Z": zlib.compress}[pack](chain) if len(chain) > 20 else chain
+            table += signed((len(waves) - at) << 1 | 1)
+            at = len(waves)
+            waves += varint(len(chain) if len(chain) > 20 else 0) + body
+        deltas = b"".join(varint(b - a) for a, b in zip([0, *times], times))
+        z = zlib.compress(frame)
+        body = u64(times[0], times[-1], 0) + varint(len(frame)) + varint(len(z)) + varint(4) + z + varint(4) + waves + table + u64(len(table)) + deltas + u64(len(deltas), len(deltas), len(times))
+        out += block(8, body)
+    return out + geometry + names[hierarchy]
+
+
+@pytest.mark.parametrize("pack,hierarchy,wrapped", [("4", "gz", False), ("Z", "lz4", False), ("4", "twice", True)])
+def test_fst(spark, tmp_path, pack, hierarchy, wrapped):
+    import gzip
+    import struct
+
+    bit = lambda delta, value: varint(delta << 4 | "xzhuwl-?".index(value) << 1 | 1) if value in "xz" else varint(delta << 2 | int(value) << 1)
+    clk = bit(0, "0") + b"".join(bit(1, str((i + 1) % 2)) for i in range(30))
+    data = varint(0) + bytes([0]) + varint(2 << 1 | 1) + b"1010xz01"
+    real = varint(1 << 1 | 1) + struct.pack("<d", 2.5)
+    text = varint(3 << 1) + varint(4) + b"IDLE"
+    frame = b"x" + b"x" * 8 + struct.pack("<d", 0.5)
+    later = bit(0, "z")
+    raw = fst_file(pack, hierarchy, [(frame, [5 * i for i in range(31)], [clk, data, real, text]), (frame, [200, 201], [later, None, None, None])])
+    path = tmp_path / "t.fst"
+    path.write_bytes(bytes([254]) + struct.pack(">QQ", 0, len(raw)) + gzip.compress(raw) if wrapped else raw)
+    e = Engine(spark, str(tmp_path / "cache"))
+    status = e.load(str(path))
+    assert (status["signal_count"], status["start_time"], status["end_time"]) == (4, 0, 20)
+    assert e.signals()["signals"] == ["top.clk", "top.data", "top.in.clk2", "top.r", "top.s"]
+    q = e.query("top.clk", 0, 300)["changes"]
+    assert q[0] == (0, "x") and q[1:32] == [(5 * i, str(i % 2)) for i in range(31)] and q[32] == (200, "z")
+    assert e.query("top.in.clk2", 0, 300)["changes"] == q
+    assert e.query("top.data", 0, 300)["changes"] == [(0, "xxxxxxxx"), (0, "00000000"), (10, "1010xz01")]
+    assert e.query("top.r", 0, 300)["changes"] == [(0, "0.5"), (5, "2.5")] and e.query("top.s", 0, 300)["changes"] == [(15, "IDLE")]
+    rows = {(r.signal_id, r.value_kind) for r in e.trace.wave.collect()}
+    assert rows == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    info = e.trace.info.first()
+    assert (info.source, info.version, info.date, info.timescale_exponent, info.max_handle) == ("fst", "writer", "today", -9, 4)

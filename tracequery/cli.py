@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from . import surfaces
 from .api import Engine
 from .plans import render
 from .schema import TraceError
@@ -31,6 +32,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--start", "--from", type=int, dest="start")
             c.add_argument("--end", "--to", type=int, dest="end")
 
+    serve = sub.add_parser("serve")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
+    sub.add_parser("tools")
     cycle = {"clock": str, "start_cycle": int, "end_cycle": int, "edge": str}
     add("load")
     add("signals", pattern=str, limit=int)
@@ -67,8 +72,14 @@ def run(engine: Engine, args: argparse.Namespace) -> dict:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tracequery").getOrCreate()
+    engine = Engine(spark, args.cache or tempfile.mkdtemp(prefix="tracequery-"))
+    if args.command == "serve":
+        surfaces.http_server(engine, args.host, args.port).serve_forever()
+    if args.command == "tools":
+        surfaces.serve_tools(engine)
+        return 0
     try:
-        result = run(Engine(spark, args.cache or tempfile.mkdtemp(prefix="tracequery-")), args)
+        result = run(engine, args)
     except TraceError as e:
         print(render.to_json({"error": str(e), "kind": type(e).__name__}), file=sys.stderr)
         return 1

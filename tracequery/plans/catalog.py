@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SIGNALS, TRACE_INFO, WAVE, LoadError, NotLoadedError
-from ..sources import vcd
+from ..sources import fst, vcd
 
 VERSION = "1"
 
@@ -42,6 +42,7 @@ class TraceCatalog:
         self.traces: dict[str, Trace] = {}
         self.current: str | None = None
         vcd.register(spark)
+        fst.register(spark)
 
     def _fingerprint(self, path: str) -> str:
         system, inner = vcd.open_path(path)
@@ -55,19 +56,23 @@ class TraceCatalog:
         return Trace(path, cache, read("wave", WAVE), read("signals", SIGNALS), read("trace_info", TRACE_INFO))
 
     def _ingest(self, path: str, cache: str, fingerprint: str, shards: int | None) -> None:
-        head = vcd.read_header(path)
-        reader = self.spark.read.format("vcd").option("path", path)
-        wave = (reader.option("shards", shards) if shards else reader).load()
+        if path.lower().endswith(".fst"):
+            wave = self.spark.read.format("fst").option("path", path).load()
+            r = fst.read_recording(path)
+            names, about = r.names, ("fst", r.version or None, r.date or None, None, 10.0**r.exponent, r.exponent, r.start, r.end, len(r.names), r.max_handle)
+        else:
+            reader = self.spark.read.format("vcd").option("path", path)
+            wave = (reader.option("shards", shards) if shards else reader).load()
+            head = vcd.read_header(path)
+            names, about = head.names, ("vcd", head.version, head.date, head.timescale, vcd.timescale_seconds(head.timescale), vcd.timescale_exponent(head.timescale), None, None, len(head.names), None)
         wave.repartitionByRange("signal_id", "timestamp", "seq").sortWithinPartitions("signal_id", "timestamp", "seq").write.mode("overwrite").parquet(f"{cache}/wave")
-        self.spark.createDataFrame([tuple(n[c] for c in SIGNALS.names) for n in head.names], SIGNALS).coalesce(1).write.mode("overwrite").parquet(f"{cache}/signals")
+        self.spark.createDataFrame([tuple(n[c] for c in SIGNALS.names) for n in names], SIGNALS).coalesce(1).write.mode("overwrite").parquet(f"{cache}/signals")
         lo, hi = self.spark.read.schema(WAVE).parquet(f"{cache}/wave").agg(F.min("timestamp"), F.max("timestamp")).first()
-        row = ("vcd", head.version, head.date, head.timescale, vcd.timescale_seconds(head.timescale), vcd.timescale_exponent(head.timescale), lo, hi, len(head.names), None, path, fingerprint)
+        row = (*about[:6], lo if about[6] is None else about[6], hi if about[7] is None else about[7], *about[8:], path, fingerprint)
         # Written last: a cache without it isn't complete.
         self.spark.createDataFrame([row], TRACE_INFO).coalesce(1).write.mode("overwrite").parquet(f"{cache}/trace_info")
 
     def load(self, path: str, shards: int | None = None, force: bool = False) -> Trace:
-        if path.lower().endswith(".fst"):
-            raise LoadError("FST files can't be read; convert them to VCD first")
         fingerprint = self._fingerprint(path)
         cache = f"{self.cache_dir}/{re.sub(r'[^A-Za-z0-9_.-]', '_', path.rsplit('/', 1)[-1])}-{fingerprint}"
         fresh = False
