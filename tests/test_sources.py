@@ -163,6 +163,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*base, "--format", "text", "inspect", path, "clk,data"], spark) == 0
     assert "top.data" in capsys.readouterr().out
     assert cli.main([*base, "query", path, "nix"], spark) == 1
+    assert cli.main([path, "--signals", "clk", "--from", "0", "--to", "9", *base], spark) == 0
+    assert json.loads(capsys.readouterr().out)[path]["signals"][0]["change_count"] == 2
+    assert cli.main([path, "--signals", "nix", *base], spark) == 1
+
+
+def test_shard_count(monkeypatch):
+    from tracequery.plans.catalog import shard_count
+
+    assert [shard_count(n, 8) for n in (0, 1 << 10, 4 << 20, 64 << 20, 1 << 30)] == [1, 1, 4, 8, 32]
+    monkeypatch.setenv("TRACEQUERY_MAX_SHARDS", "5")
+    assert shard_count(1 << 30, 8) == 5
+    monkeypatch.setenv("TRACEQUERY_SHARDS", "3")
+    assert shard_count(1 << 30, 8) == 3
 
 
 def test_live_stalls(spark, tmp_path):

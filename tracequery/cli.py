@@ -1,4 +1,4 @@
-"""Command line: ``python -m tracequery.cli COMMAND FILE ...``."""
+"""Command line: ``python -m tracequery.cli COMMAND FILE ...``, or ``FILE ... --signals a,b`` to inspect files."""
 
 from __future__ import annotations
 
@@ -56,6 +56,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def default_parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="tracequery")
+    p.add_argument("files", nargs="+")
+    p.add_argument("--signals", required=True)
+    p.add_argument("--start", "--from", type=int, dest="start")
+    p.add_argument("--end", "--to", type=int, dest="end")
+    p.add_argument("--format", choices=("json", "text"), default="json")
+    p.add_argument("--cache", help="folder for ingested traces")
+    return p
+
+
+def wants_default(argv: list[str]) -> bool:
+    """Whether the arguments name files and --signals rather than a command."""
+    commands = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    return any(a.split("=")[0] == "--signals" for a in argv) and not any(a in commands for a in argv[:5])
+
+
 def run(engine: Engine, args: argparse.Namespace) -> dict:
     given = {k: v for k, v in vars(args).items() if v is not None and k not in ("command", "file", "format", "cache")}
     for k in ("time", "time_a", "time_b"):
@@ -69,10 +86,27 @@ def run(engine: Engine, args: argparse.Namespace) -> dict:
     return getattr(engine, args.command.replace("-", "_"))(**given)
 
 
+def _inspect_files(engine: Engine, args: argparse.Namespace) -> int:
+    results = {}
+    try:
+        for f in args.files:
+            engine.ensure(f)
+            results[f] = engine.inspect(args.signals, args.start, args.end)
+    except TraceError as e:
+        print(render.to_json({"error": str(e), "kind": type(e).__name__}), file=sys.stderr)
+        return 1
+    print(render.to_json(results) if args.format == "json" else render.to_text(results))
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    argv = sys.argv[1:] if argv is None else argv
+    default = wants_default(argv)
+    args = (default_parser() if default else parser()).parse_args(argv)
     spark = spark or SparkSession.builder.appName("tracequery").getOrCreate()
     engine = Engine(spark, args.cache or tempfile.mkdtemp(prefix="tracequery-"))
+    if default:
+        return _inspect_files(engine, args)
     if args.command == "serve":
         surfaces.http_server(engine, args.host, args.port).serve_forever()
     if args.command == "tools":

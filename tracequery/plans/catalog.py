@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,21 @@ from ..schema import SIGNALS, TRACE_INFO, WAVE, LoadError, NotLoadedError
 from ..sources import fst, vcd
 
 VERSION = "1"
+SHARD_BYTES = 32 << 20
+
+
+def shard_count(size: int, cores: int) -> int:
+    """How many ranges a file of ``size`` bytes is parsed in: one for each SHARD_BYTES, a core's worth at least for files of that size.
+
+    TRACEQUERY_SHARDS sets the number; TRACEQUERY_MIN_SHARDS and
+    TRACEQUERY_MAX_SHARDS bound it.
+    """
+    if (fixed := os.environ.get("TRACEQUERY_SHARDS", "")).isdigit():
+        return max(1, int(fixed))
+    n = max(-(-size // SHARD_BYTES), min(cores, -(-size // (1 << 20))), 1)
+    least, most = os.environ.get("TRACEQUERY_MIN_SHARDS", ""), os.environ.get("TRACEQUERY_MAX_SHARDS", "")
+    n = max(n, int(least)) if least.isdigit() else n
+    return min(n, max(1, int(most))) if most.isdigit() else n
 
 
 class Trace:
@@ -49,7 +65,8 @@ class TraceCatalog:
         info = system.get_file_info(inner)
         if not info.is_file:
             raise LoadError(f"no file {path}")
-        return hashlib.sha256(f"{path}\0{info.size}\0{info.mtime_ns}\0{VERSION}".encode()).hexdigest()[:24]
+        tag = os.environ.get("TRACEQUERY_CACHE_TAG", "")
+        return hashlib.sha256(f"{path}\0{info.size}\0{info.mtime_ns}\0{VERSION}\0{tag}".encode()).hexdigest()[:24]
 
     def _read(self, path: str, cache: str) -> Trace:
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{cache}/{name}")
@@ -61,8 +78,9 @@ class TraceCatalog:
             r = fst.read_recording(path)
             names, about = r.names, ("fst", r.version or None, r.date or None, None, 10.0**r.exponent, r.exponent, r.start, r.end, len(r.names), r.max_handle)
         else:
-            reader = self.spark.read.format("vcd").option("path", path)
-            wave = (reader.option("shards", shards) if shards else reader).load()
+            system, inner = vcd.open_path(path)
+            shards = shards or shard_count(system.get_file_info(inner).size, self.spark.sparkContext.defaultParallelism)
+            wave = self.spark.read.format("vcd").option("path", path).option("shards", shards).load()
             head = vcd.read_header(path)
             names, about = head.names, ("vcd", head.version, head.date, head.timescale, vcd.timescale_seconds(head.timescale), vcd.timescale_exponent(head.timescale), None, None, len(head.names), None)
         wave.repartitionByRange("signal_id", "timestamp", "seq").sortWithinPartitions("signal_id", "timestamp", "seq").write.mode("overwrite").parquet(f"{cache}/wave")
