@@ -155,7 +155,7 @@ class Engine:
         ids = self.spark.createDataFrame([(c["signal_id"], c["signal"]) for c in chosen], "signal_id long, signal_name string")
         wave = self._wave(chosen)
         summary = semantics.summary(wave, ids, out["start"], out["end"])
-        analysed = {r["signal_id"]: r.asDict() for r in summary.join(F.broadcast(semantics.describe(summary, ids).drop("signal_name")), "signal_id").collect()}
+        analysed = {r["signal_id"]: r.asDict() for r in summary.join(semantics.describe(summary, ids).drop("signal_name"), "signal_id").collect()}
         for c in chosen:
             c["analysis"] = analysed[c["signal_id"]]
         relations = [{"type": "handshake", **r.asDict()} for r in semantics.handshake(wave, ids, out["start"], out["end"]).collect()]
@@ -187,8 +187,8 @@ class Engine:
 
     def last_activity(self, wanted=None, pattern: str | None = None, sort_by: str = "time_desc", limit: int = 20) -> dict:
         known = names.list_signals(self.trace.signals, pattern).select("signal_name") if pattern or not wanted else self.spark.createDataFrame([(c["signal"],) for c in self._chosen(wanted)], "signal_name string")
-        ids = self.trace.signals.select("signal_id", "signal_name").join(F.broadcast(known), "signal_name")
-        found = lookups.last_activity(self.trace.wave.join(F.broadcast(ids.select("signal_id").distinct()), "signal_id", "left_semi")).join(F.broadcast(ids), "signal_id")
+        ids = self.trace.signals.select("signal_id", "signal_name").join(known, "signal_name")
+        found = lookups.last_activity(self.trace.wave.join(ids.select("signal_id").distinct(), "signal_id", "left_semi")).join(ids, "signal_id")
         order = {"time_desc": [F.desc("last_change_time"), "signal_name"], "time_asc": ["last_change_time", "signal_name"]}.get(sort_by, ["signal_name"])
         rows = found.orderBy(*order).limit(limit).collect()
         return {"activities": [{"signal": r["signal_name"], "last_change_time": r["last_change_time"], "final_value": r["final_value"]} for r in rows], "total_checked": found.count()}

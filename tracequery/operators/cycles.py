@@ -50,4 +50,4 @@ def sample(wave: DataFrame, cycles: DataFrame) -> DataFrame:
 
     times = cycles.select(F.col("timestamp").alias("time")).distinct()
     values = asof_times(wave, times, wave)
-    return values.join(F.broadcast(cycles.select("cycle", F.col("timestamp").alias("time"))), "time").select("signal_id", "cycle", "value_raw")
+    return values.join(cycles.select("cycle", F.col("timestamp").alias("time")), "time").select("signal_id", "cycle", "value_raw")

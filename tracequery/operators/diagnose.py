@@ -26,8 +26,8 @@ def snapshot(wave: DataFrame, signals: DataFrame, time: int, wanted=None) -> Dat
     """(signal_id, signal_name, value) of signals that have a value at a time; names share an id's value."""
     names = signals.select("signal_id", "signal_name").distinct()
     names = names if wanted is None else names.where(wanted)
-    near = wave.join(F.broadcast(names.select("signal_id").distinct()), "signal_id", "left_semi")
-    return asof(near, time).select("signal_id", F.col("value_raw").alias("value")).join(F.broadcast(names), "signal_id")
+    near = wave.join(names.select("signal_id").distinct(), "signal_id", "left_semi")
+    return asof(near, time).select("signal_id", F.col("value_raw").alias("value")).join(names, "signal_id")
 
 
 def busy_tree(wave: DataFrame, signals: DataFrame, root: str, time: int, patterns: list[str] | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def describe(summaries: DataFrame, names: DataFrame) -> DataFrame:
         .when(n > 50, F.concat(F.lit("Signal "), name, F.lit(" toggled heavily ("), n.cast("string"), F.lit(" changes).")))
         .otherwise(F.concat(F.lit("Signal "), name, F.lit(" changed "), n.cast("string"), F.lit(" times.")))
     )
-    return summaries.join(F.broadcast(names.select("signal_id", "signal_name")), "signal_id").select("signal_id", "signal_name", text.alias("description"))
+    return summaries.join(names.select("signal_id", "signal_name"), "signal_id").select("signal_id", "signal_name", text.alias("description"))
 
 
 def handshake_pairs(names: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def longest(intervals: DataFrame, key: str, most: int = 10) -> DataFrame:
 
 def health_check(wave: DataFrame, names: DataFrame, start: int, end: int, least_toggles: int = 100) -> DataFrame:
     """One row: whether a clock toggles, a reset is low at the end, and any busy signal was high."""
-    s = summary(wave, names, start, end).join(F.broadcast(names.select("signal_id", "signal_name")), "signal_id")
+    s = summary(wave, names, start, end).join(names.select("signal_id", "signal_name"), "signal_id")
     d = s.join(duty(wave, names, start, end).select("signal_id", "high_time"), "signal_id")
     low = F.lower("signal_name")
     clock, reset, busy = low.rlike("(clock|clk)$"), low.rlike("(reset|rst)$"), low.contains("busy")

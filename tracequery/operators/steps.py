@@ -36,7 +36,7 @@ def asof(wave: DataFrame, at: int, strict: bool = False) -> DataFrame:
 
 def asof_times(wave: DataFrame, times: DataFrame, signals: DataFrame) -> DataFrame:
     """(signal_id, time, value_raw) for each signal and each row of ``times`` (a column ``time``), null before the first change."""
-    marks = signals.select("signal_id").distinct().join(F.broadcast(times.select("time").distinct()))
+    marks = signals.select("signal_id").distinct().crossJoin(times.select("time").distinct())
     points = wave.select("signal_id", F.col("timestamp").alias("time"), F.lit(0).alias("mark"), "seq", "value_raw").unionByName(
         marks.select("signal_id", "time", F.lit(1).alias("mark"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("value_raw"))
     )
@@ -87,7 +87,7 @@ def sweep(wave: DataFrame, pairs: DataFrame, start: int, end: int, to_bit=bit) -
     """
     check_range(start, end)
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.col("a_id").alias("signal_id"), F.lit(0).alias("side")), F.struct(F.col("b_id").alias("signal_id"), F.lit(1).alias("side")))).alias("s")).select("pair", "s.*")
-    points = wave.where(F.col("timestamp") <= end).join(F.broadcast(sides), "signal_id")
+    points = wave.where(F.col("timestamp") <= end).join(sides, "signal_id")
     order = Window.partitionBy("pair").orderBy("timestamp", "seq", "side")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     both = points.select(
@@ -106,5 +106,5 @@ def joint_times(wave: DataFrame, pairs: DataFrame, start: int, end: int) -> Data
     state = lambda a, b: F.coalesce(F.sum(F.when((F.col("a_bit") == a) & (F.col("b_bit") == b), F.col("t_end") - F.col("t_start"))), F.lit(0))
     sums = sweep(wave, pairs, start, end).groupBy("pair").agg(state(1, 1).alias("both_high"), state(0, 0).alias("both_low"), state(1, 0).alias("a_only"), state(0, 1).alias("b_only"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = pairs.join(F.broadcast(sums), "pair", "left").select(*pairs.columns, *map(zero, ("both_high", "both_low", "a_only", "b_only")))
+    out = pairs.join(sums, "pair", "left").select(*pairs.columns, *map(zero, ("both_high", "both_low", "a_only", "b_only")))
     return out.withColumn("unknown", F.lit(total) - F.col("both_high") - F.col("both_low") - F.col("a_only") - F.col("b_only")).withColumn("total_time", F.lit(total).cast("long"))

@@ -463,7 +463,7 @@ def query_cycles(spark, sf_dir):
     wave = _wave(spark, sf_dir)
     ranges = cycle_range(spark, sf_dir).withColumnRenamed("signal_id", "clock_id")
     same = F.floor(F.col("signal_id") / 5) == F.floor(F.col("clock_id") / 5)
-    return wave.join(F.broadcast(ranges), same & F.col("timestamp").between(F.col("start_time"), F.col("end_time"))).select("clock_id", "signal_id", "timestamp", "value_raw")
+    return wave.join(ranges, same & F.col("timestamp").between(F.col("start_time"), F.col("end_time"))).select("clock_id", "signal_id", "timestamp", "value_raw")
 
 
 @_query("probe_cycles", _TRACE + _EDGES.format(1) + _CYCLES + "SELECT w.signal_id, count(*) AS change_count, min(timestamp) AS first_change, max(timestamp) AS last_change FROM w, c WHERE timestamp BETWEEN start_time AND end_time AND w.signal_id // 5 = c.signal_id // 5 GROUP BY w.signal_id")

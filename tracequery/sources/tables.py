@@ -47,5 +47,5 @@ def orders_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary with a deep hierarchy: region.nation.customer."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    c = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.select(F.col("c_custkey").alias("signal_id"), F.concat_ws(".", F.replace("r_name", F.lit(" "), F.lit("_")), F.replace("n_name", F.lit(" "), F.lit("_")), F.replace("c_name", F.lit("#"), F.lit("_"))).alias("signal_name"))
