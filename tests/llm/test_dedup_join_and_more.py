@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracequery.llm import chat_format, components, decontaminate, jaccard_join, license_scan, quality_rules, substring_dedup, textkit
+from tracequery.llm import chat_format, components, decontaminate, jaccard_join, license_scan, quality_rules, scratch, substring_dedup, textkit
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -357,3 +357,14 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     for p in five:
         sizes[p.sequence_id] += p.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_scratch_tables_are_written_once_and_cleared(spark):
+    from pathlib import Path
+
+    df = scratch.cut(spark.range(5).withColumn("x", F.rand()), "some")
+    assert df.collect() == df.collect()
+    path = scratch._written[-1].removeprefix("file://")
+    assert Path(path).exists()
+    scratch.clear(spark)
+    assert not Path(path).exists() and not scratch._written

@@ -6,13 +6,16 @@ the session runs in one local process is a temporary folder used.
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_written: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,6 +27,7 @@ def folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="tracequery-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return "file://" + _local[0]
 
 
@@ -31,6 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder once and returns the written table."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     # Spark removes the shuffle files of finished jobs once the driver's JVM has collected their plans.
     gc.collect()
@@ -42,3 +47,11 @@ def parts(spark: SparkSession, total_bytes: int, each: int) -> int:
     """How many partitions keep each within ``each`` bytes, the session's shuffle partitions at least."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, -(-int(total_bytes) // each), 1)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables written so far; call it once the results that read them are stored."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
