@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import textkit as tk
 
 BUCKETS, DIM, PER_LANGUAGE, REJECT = 1 << 15, 16, 600, 0.005
@@ -134,11 +135,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     draw = F.xxhash64("doc_id", F.lit(5))
     # Only ids whose hash lies in the share that should give twice the sample meet in a language's window.
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    near = known.select("doc_id", "lang", draw.alias("draw")).join(F.broadcast(sizes), "lang")
+    near = known.select("doc_id", "lang", draw.alias("draw")).join(sizes, "lang")
     near = near.where((F.col("draw") / float(1 << 64) + 0.5) * F.col("size") <= 2.0 * per_language + 50)
     best = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("place") <= per_language)
-    picked = best.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
-    return known.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").select("text", "lang")
+    # Written, so that its size is known when the join with the texts is planned.
+    picked = scratch.cut(best.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang")).coalesce(1), "language-sample")
+    return known.join(picked, (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").select("text", "lang")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **settings) -> Model | None:
