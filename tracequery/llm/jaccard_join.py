@@ -45,7 +45,7 @@ from . import textkit as tk
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-BLOCK_SIZE, BLOCK_BYTES = 2000, 4_000_000
+BLOCK_SIZE, BLOCK_BYTES = 500, 4_000_000
 _SEED, _SEED_BLOCK = 5003, 5009
 #: Classes of one task that make a shingle frequent, and the rank of frequent ones.
 _MANY, _FREQUENT = 8, 255
@@ -248,7 +248,7 @@ class Cell:
             near = (np.abs(d_right - d) <= radius).all(axis=1)
             near &= (100 * self.sizes[right] >= self.percent * self.sizes[i]) & (100 * self.sizes[i] >= self.percent * self.sizes[right])
             others = right[near]
-            others = others[self.group[others] != self.group[i]]
+            others = others[(self.group[others] != self.group[i]) & (self.names[others] != self.names[i])]
             if len(others):
                 linked, _ = self.measure(i, others)
                 self.connect(i, others[linked])
@@ -355,7 +355,7 @@ def classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def told(batches):
         for batch in batches:
-            for block in tk.blocks(batch.column("text"), 6_000_000):
+            for block in tk.blocks(batch.column("text")):
                 doc, h, _ = shingles(block, k)
                 size, cls = set_classes(doc, h, block.n)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.lo, block.n), pa.array(size, pa.int64()), pa.array(cls.view(np.int64), mask=size == 0)], ["doc_id", "n_shingles", "cls"])
@@ -367,11 +367,11 @@ def candidates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     """Classes that share enough of their shingles to be linked, written once."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = scratch.parts(spark, size, 16_000_000)
+    n = scratch.parts(spark, size, 10_000_000)
 
     def send(batches):
         for batch in batches:
-            for block in tk.blocks(batch.column("text"), 6_000_000):
+            for block in tk.blocks(batch.column("text")):
                 yield from send_block(block, k, n, n)
 
     def shared(rows):
@@ -406,13 +406,16 @@ def links(found: DataFrame, percent: int = PERCENT, block_size: int = BLOCK_SIZE
     away = inside.where("cls is not null").select("pivot", "block", "cls", "d")
     if away.isEmpty():
         return own
-    # Classes outside the ball meet every other block of their cell.
-    blocks = cells.where("n_blocks > 1").select("pivot", "n_blocks")
+    # Classes outside the ball, in chunks of their own, meet every block of their cell.
     radius = 1 - percent / 100
-    outer = away.where(F.col("d") > radius).join(blocks, "pivot")
-    meets = outer.select("pivot", F.col("block").alias("from"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to"), "cls", "d", F.lit(0).alias("side")).where("from != to")
-    pairs = outer.groupBy("pivot", F.col("block").alias("from")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    others = away.withColumnRenamed("block", "to").join(pairs, "pivot").where((F.col("from") != F.col("to")) & (F.col("d") >= F.col("lo") - radius - 1e-9) & (F.col("d") <= F.col("hi") + radius + 1e-9))
+    outer = away.where(F.col("d") > radius)
+    chunks = outer.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("n_chunks"))
+    outer = outer.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("cls", F.lit(1)), "n_chunks").cast("int").alias("from"), "cls", "d")
+    outer = scratch.cut(outer, "join-outer")
+    blocks = cells.where("n_blocks > 1").select("pivot", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to"))
+    meets = outer.join(blocks, "pivot").select("pivot", "from", "to", "cls", "d", F.lit(0).alias("side"))
+    spread = outer.groupBy("pivot", "from").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    others = away.withColumnRenamed("block", "to").join(spread, "pivot").where((F.col("d") >= F.col("lo") - radius - 1e-9) & (F.col("d") <= F.col("hi") + radius + 1e-9))
     across = meets.unionByName(others.select("pivot", "from", "to", "cls", "d", F.lit(1).alias("side"))).join(sets, "cls")
     met = across.select("pivot", "from", "to", "side", "cls", "d", "size", "shared").groupBy("pivot", "from", "to").applyInArrow(lambda t: join_across(t, percent), _LINKS)
     return own.union(scratch.cut(met.where("a is not null").select("a", "b"), "join-across"))

@@ -180,13 +180,13 @@ def find_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(__tq_doc, __tq_tag, __tq_runs) of every document that repeats others."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = scratch.parts(spark, size, 16_000_000)
-    n_targets = scratch.parts(spark, size, 16_000_000)
+    n_blocks = scratch.parts(spark, size, 10_000_000)
+    n_targets = scratch.parts(spark, size, 10_000_000)
 
     def send(batches):
         for batch in batches:
             doc, tag = np.asarray(batch.column("__tq_doc")), np.asarray(batch.column("__tq_tag")).astype(np.uint32)
-            for block in tk.blocks(batch.column("text"), 6_000_000):
+            for block in tk.blocks(batch.column("text")):
                 yield from phrases(block, doc[block.lo : block.hi], tag[block.lo : block.hi], window, n_blocks, n_targets)
 
     def settle(batches):

@@ -8,12 +8,27 @@ larger than the limit forms a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+def _return_freed_memory() -> None:
+    """Lets large arrays go back to the system when they are freed: workers live on between tasks of different shapes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows up to 32 MB
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+_return_freed_memory()
+
 U64 = np.uint64
 BLOCK_BYTES = 3_000_000
 
