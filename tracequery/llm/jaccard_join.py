@@ -428,7 +428,8 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_size:
     roots = components(links(found, percent, block_size, block_bytes), "a", "b")
     kinds = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("class_size"))
     named = kinds.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join below can split a component with a large share of all classes.
+    least = scratch.cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "join-least")
     names = scratch.cut(named.join(least, "root").select("cls", "component_id", "class_size"), "join-names")
     return rows.join(names, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
@@ -436,9 +437,13 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_size:
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one with the smallest id; rows of equal id and text stay once, those without an id stay."""
     joined = join(docs, k, percent)
-    own = joined.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__tq_id")).agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("__tq_rows"))
-    kept = scratch.cut(own.where(F.col("least") == F.col("__tq_id")).select("__tq_id", "__tq_rows"), "join-kept")
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__tq_id"))
-    once = rows.where("__tq_rows = 1").select(*docs.columns)
-    again = rows.where("__tq_rows > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return once.union(again).union(docs.where("doc_id is null"))
+    own = joined.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__tq_id")).agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    own = scratch.cut(own.where((F.col("least") != F.col("__tq_id")) | (F.col("n") > 1)), "join-marked")
+    same = F.col("doc_id").cast("long") == F.col("__tq_id")
+    # The documents that go are fewer than those that stay, and known before the texts are read.
+    gone = scratch.cut(own.where(F.col("least") != F.col("__tq_id")).select("__tq_id"), "join-gone")
+    rows = docs.join(gone, same, "left_anti")
+    again = own.where(F.col("least") == F.col("__tq_id")).select("__tq_id")
+    if again.isEmpty():
+        return rows
+    return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
