@@ -110,6 +110,14 @@ def test_bands_reject_noise_and_keep_clean_text(spark):
     assert sum(got[d].kept for d in clean) >= 0.99 * len(clean)
 
 
+def test_bands_separate_labelled_junk_from_clean_text(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    clean, junk = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert sum(clean) >= 0.98 * len(clean)
+    assert len(junk) > 10 and sum(junk) <= 0.3 * len(junk)
+
+
 def test_language_id_held_out_accuracy_and_odd_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
