@@ -226,6 +226,32 @@ def test_two_traces(make_wave, make_names):
     assert (got["command to busy"].total, got["busy to response"].total, got["busy span"].total) == (1, 1, 6)
 
 
+@pytest.mark.parametrize("per_slice", [1, 7, 1000])
+def test_samples_of_every_clock_against_brute_force(make_wave, per_slice):
+    rng = random.Random(per_slice)
+    changes = sorted(((rng.randint(0, 60), rng.randint(0, 4), rng.choice(["0", "1", "x", None])) for _ in range(150)), key=lambda r: r[0])
+    w = make_wave([*changes, (70, 9, "late"), (70, 10, None)])
+    clocks = cycles.cycle_table(w.where("signal_id < 2"))
+    want = []
+    for e in clocks.collect():
+        for s in {r.signal_id for r in w.select("signal_id").collect()}:
+            past = [r for r in changes if r[1] == s and r[0] <= e.timestamp and r[2] is not None]
+            want.append((e.signal_id, e.cycle, s, past[-1][2] if past else None))
+    got = [tuple(r) for r in cycles.samples(w, clocks, per_slice).collect()]
+    assert len(want) > 50 and sorted(got, key=repr) == sorted(want, key=repr)
+    assert cycles.samples(w, clocks.where("false")).count() == 0
+
+
+def test_the_registered_samples_cover_all_clocks_and_signals(spark):
+    from tracequery.plans import suite
+
+    sf = "/root/testdata/sf0.001"
+    edges = suite.QUERIES["cycle_table_rising"](spark, sf).count()
+    got = suite.QUERIES["cycle_samples_all"](spark, sf)
+    n_signals = suite._wave(spark, sf).select("signal_id").distinct().count()
+    assert got.count() == got.select("clock_id", "cycle", "signal_id").distinct().count() == edges * n_signals
+
+
 def test_samples_at_cycles(make_wave):
     w = make_wave(SIMPLE)
     c = cycles.cycle_table(w.where("signal_id = 0"))

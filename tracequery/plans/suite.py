@@ -479,6 +479,12 @@ def cycle_samples(spark, sf_dir):
     return cycles.sample(_wave(spark, sf_dir).where("signal_id < 3"), clock)
 
 
+@_query("cycle_samples_all")
+def cycle_samples_all(spark, sf_dir):
+    """Every signal at every cycle of every clock; SQL that looks each value up is quadratic, so tests hold it against brute force."""
+    return cycles.samples(_wave(spark, sf_dir), cycles.cycle_table(_clocks(spark, sf_dir), slice_ticks=SLICE))
+
+
 # Diagnostics
 
 _AT_T = f"v AS (SELECT signal_id, arg_max(value_raw, (timestamp, seq)) AS value FROM w WHERE timestamp <= {AT} GROUP BY signal_id), n AS (SELECT signal_name, regexp_replace(signal_name, '\\.[^.]*$', '') AS module, regexp_extract(signal_name, '[^.]*$') AS leaf, value FROM s JOIN v USING (signal_id)),"
