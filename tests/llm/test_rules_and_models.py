@@ -252,6 +252,31 @@ def test_packing_round_trip_and_mixture(spark):
                     assert abs(mine[source] - packing.WIDTH * n / total) <= 0.02 * packing.WIDTH
 
 
+@pytest.mark.parametrize("slice_tokens", [500, packing.SLICE_TOKENS])
+def test_packing_mixes_small_sources_and_honours_their_targets(spark, monkeypatch, slice_tokens):
+    monkeypatch.setattr(packing, "SLICE_TOKENS", slice_tokens)
+    small = [(s * 10 + d, "alpha beta gamma " * 5, "x", f"s{s:02}") for s in range(60) for d in range(8 if s < 30 else 1)]
+    docs = [*small, *((1000 + i, "delta alpha " * 40, "x", "big") for i in range(60))]
+    pieces, ids = packed(spark, docs, width=64)
+    check_pieces(pieces, docs, ids, 64)
+    n, each = max(p.sequence_id for p in pieces) + 1, len(ids[0])
+    for quarter in range(1, 4):
+        got, singles = Counter(), 0
+        for p in pieces:
+            if p.sequence_id < n * quarter // 4:
+                got[p.source] += p.length
+        for s in range(30):
+            assert abs(got[f"s{s:02}"] - 8 * each * quarter / 4) <= 1.5 * each
+        singles = sum(got[f"s{s:02}"] for s in range(30, 60))
+        assert abs(singles - 30 * each * quarter / 4) <= 8 * each
+    pieces, ids = packed(spark, docs, width=64, targets={"s05": 0.25})
+    by_seq = check_pieces(pieces, docs, ids, 64)
+    for s in range(8 * each // 16 - 1):
+        assert 10 <= sum(p.length for p in by_seq[s] if p.source == "s05") <= 16
+    with pytest.raises(ValueError):
+        packed(spark, docs, width=64, targets={"s05": 0.01})
+
+
 def test_packing_with_targets_small_sources_and_empty_table(spark):
     docs = [(i, "alpha beta gamma delta " * (40 if i % 3 else 5), "x", "big" if i % 3 else f"s{i}") for i in range(60)]
     pieces, ids = packed(spark, docs, width=64)

@@ -13,8 +13,16 @@ phases takes what that queue has left and fills up from the others.
 
 The queues' places come from prefix sums in two steps: within each written
 part, and over the (source, part) totals.  A source that would get less than
-one token a sequence shares a queue with others like it, so there are at most
-``width`` + 1 queues, and only their totals reach the driver.
+one token a sequence and has no target shares a queue with others like it, so
+there are at most ``width`` + 1 queues and one for each target, and only their
+totals reach the driver.
+
+Within the shared queue whole documents are dealt by their sources' deficits:
+a document's turn is the share of its source's tokens before a point within
+it, a point fixed by the source so that sources of one document spread out.
+Up to any turn each source has given its share to within one document.  Spark
+sorts the turns in slices of about equal token counts; only documents of the
+shared queue are joined with their places, which moves their token ids once.
 
 Sequences are full but at the very end, where the rest of fewer than ``width``
 tokens becomes sequences whose lengths are powers of two, so nothing is padded.
@@ -40,6 +48,8 @@ from . import textkit as tk
 
 WIDTH, END = 2048, 1
 SCALE = 28
+#: Tokens of the shared queue whose documents are sorted together.
+SLICE_TOKENS = 1 << 22
 
 
 #: Kinds of bytes in words: letters, digits, signs, and those that only the tokenizer itself should cut up.
@@ -297,18 +307,40 @@ class Schedule:
         return owner, lo - start[owner], hi - lo, seq, offset + lo - at
 
 
+def _turns(tokens: DataFrame, bases: DataFrame, size: int) -> DataFrame:
+    """(source, part, before, base) of the shared queue's documents; base + before is a document's place in the queue."""
+    slices = max(1, size // SLICE_TOKENS)
+    # A point in each document, the same for all documents of a source.
+    point = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+    docs = tokens.select("source", "part", "before", "n_tokens").join(bases, ["source", "part"])
+    docs = docs.withColumn("turn", (F.col("own") + F.col("before") + point * F.col("n_tokens")) / F.col("all"))
+    docs = docs.withColumn("slice", F.least(F.floor(F.col("turn") * slices), F.lit(slices - 1)))
+    sums = docs.groupBy("slice").agg(F.sum("n_tokens").alias("n"))
+    sums = sums.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    order = Window.partitionBy("slice").orderBy("turn", "source", "part", "before").rowsBetween(Window.unboundedPreceding, -1)
+    placed = docs.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(sums, "slice")
+    return placed.select("source", "part", "before", (F.col("first") + F.col("ahead") - F.col("before")).alias("base"))
+
+
 def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``targets`` gives each source's target proportion; sources it doesn't name,
     and all without it, get their share of all tokens, which lasts to the end.
+    A source that has less than one token a sequence can't have a target below
+    one token a sequence either: that raises ValueError.
     """
     spark = docs.sparkSession
+    targets = targets or {}
     tokens = tokenize(docs, path, end)
     totals = scratch.cut(tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "pack-totals")
     by_source = totals.groupBy("source").agg(F.sum("n").alias("n"))
     all_tokens = by_source.agg(F.sum("n")).first()[0] or 0
-    own = by_source.where(F.col("n") * width >= all_tokens).orderBy("source").collect()
+    large = F.col("n") * width >= all_tokens
+    own = by_source.where(large | F.col("source").isin(list(targets)) if targets else large).orderBy("source").collect()
+    for r in own:
+        if r.n * width < all_tokens and targets[r.source] * width < 1:
+            raise ValueError(f"target of source {r.source!r} is less than one token a sequence: {targets[r.source]}")
     queue_of = {r.source: i for i, r in enumerate(own)}
     sums = [r.n for r in own]
     small = all_tokens - sum(sums)
@@ -320,15 +352,24 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, targets
         shared_queue = len(sums) - 1
         sums[-1] += small
     weights = [float(n) for n in sums]
-    for s, w in (targets or {}).items():
+    for s, w in targets.items():
         if s in queue_of:
             weights[queue_of[s]] = w * all_tokens
     schedule = spark.sparkContext.broadcast(Schedule(sums, weights, width))
     known = spark.createDataFrame([(s, i) for s, i in queue_of.items()], "source string, queue long")
     queue = F.coalesce("queue", F.lit(shared_queue)).cast("long")
-    order = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
+    of_source = Window.partitionBy("source")
+    before = of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.join(F.broadcast(known), "source", "left").withColumn("queue", queue)
-    bases = scratch.cut(bases.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("source", "part", "queue", "base"), "pack-bases")
+    bases = bases.withColumns({"own": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(of_source)})
+    bases = scratch.cut(bases.select("source", "part", "queue", "own", "all"), "pack-bases")
+    shared = F.col("queue") == shared_queue
+    placed = tokens.join((bases.where(~shared) if small else bases).withColumnRenamed("own", "base"), ["source", "part"])
+    columns = ["doc_id", "source", "queue", "base", "before", "n_tokens", "ids"]
+    placed = placed.select(*columns)
+    if small:
+        turns = scratch.cut(_turns(tokens, bases.where(shared), sums[shared_queue]), "pack-turns")
+        placed = placed.unionByName(tokens.join(turns, ["source", "part", "before"]).withColumn("queue", F.lit(shared_queue).cast("long")).select(*columns))
 
     def cut_up(batches):
         plan = schedule.value
@@ -350,6 +391,6 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, targets
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
             )
 
-    return tokens.join(bases, ["source", "part"]).select("doc_id", "source", "queue", "base", "before", "n_tokens", "ids").mapInArrow(
+    return placed.mapInArrow(
         cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     )
