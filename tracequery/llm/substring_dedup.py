@@ -1,15 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by exact lookup of phrases of ``window`` words.
 
 The reference is all documents; each is parsed against those with smaller
 ids.  Its index holds every phrase of ``window`` consecutive words by hash,
 cut into blocks by a second, independent hash: block by block, the phrases'
 first places are found, and each phrase that starts in a document with a
-smaller id comes back with that reference place.  The parse of a document goes
-greedily: where a phrase has a reference place, a factor starts and runs on as
-long as the next phrases continue at the same reference; phrases that cross a
-factor's end are checked on their own.  Every factor, at least a phrase long,
-is a duplicate span, and a word in any of them is removed.  Spans are judged
-on the input, not on what is left.
+smaller id comes back with that reference place.  Such a phrase is a duplicate
+span, and a word in any of them is removed.  Spans are judged on the input, not
+on what is left.
+
+``n_factors`` is a greedy count over the runs of phrases with consecutive
+reference places; it takes no part in what is removed.  A phrase has one
+reference place, so it is no relative Lempel-Ziv parse with longest matches.
 
 What moves is packed: each task sends a phrase that it meets in many documents
 once, for the smallest id, and settles the others itself, so a passage that a
