@@ -25,6 +25,8 @@ class Engine:
     # Lifecycle
 
     def load(self, path: str, shards: int | None = None) -> dict:
+        # A changed file may number its signals otherwise.
+        self._resolved.clear()
         self.catalog.load(path, shards)
         return self.catalog.status()
 
