@@ -7,10 +7,16 @@ then the first gives back the original.
 
 Prefix sums of turn tokens choose the windows: a window is the system turn, if
 a conversation starts with one, then the last earlier turns that fit into
-``history`` tokens, then new turns while all of it stays within ``budget``.
-Every turn is new in exactly one window; turns are never cut, so one that
-doesn't fit fills a window of its own.  The loss mask covers the texts of new
-assistant turns; repeated ones are left out of it.
+``history`` tokens and leave room for the first new turn, then new turns while
+all of it stays within ``budget``.  Every turn is new in exactly one window.
+Turns are never cut and the system turn is never left out, so a window exceeds
+the budget only where its first new turn does so alone or with the system
+turn; it then has no history and no other new turn.  The loss mask covers the
+texts of new assistant turns; repeated ones are left out of it.
+
+Turns of a conversation are gathered, as its digest needs them; each turn
+looks back at the few turns its history can hold, and a window holds only its
+own turns.
 
 A turn's tokens are its ASCII letter runs and every other character above
 space, plus ``MARKERS`` for its markers.
@@ -57,58 +63,62 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         "conv_id", "turn", "role", "text", F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>")).alias("head"), escape_text(F.col("text")).alias("body"),
         (F.regexp_count("text", F.lit(_TOKEN)) + F.lit(MARKERS)).cast("long").alias("tokens"),
     )
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    talk = Window.partitionBy("conv_id")
+    order = talk.orderBy(F.asc_nulls_first("turn"), "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     size = F.char_length("head") + F.char_length("body") + F.lit(len(_END))
-    placed = shown.select(
-        "conv_id",
-        F.struct(
-            F.row_number().over(order).alias("n"),
-            F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("at"),
-            "tokens",
-            F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long").alias("char"),
-            (F.col("role") == "system").alias("is_system"),
-            (F.col("role") == "assistant").alias("is_target"),
-            F.char_length("head").alias("head_size"),
-            F.char_length("body").alias("body_size"),
-            F.concat("head", "body", F.lit(_END)).alias("shown"),
-        ).alias("turn"),
-    )
-    talks = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    first = F.col("turns")[0]
-    talks = talks.select("conv_id", "turns", F.size("turns").alias("n"), F.when(first["is_system"], 1).otherwise(0).alias("has_system"), F.when(first["is_system"], first["tokens"]).otherwise(F.lit(0)).cast("long").alias("system_tokens"))
-
-    def base(at: Column, start: Column) -> Column:
-        """Tokens shown before the new turns of a window: system turn and history."""
-        kept = F.filter("turns", lambda t: (t["n"] < start) & (t["n"] > F.col("has_system")) & (at - t["at"] <= history))
-        return F.col("system_tokens") + F.coalesce(at - F.get(kept, F.lit(0))["at"], F.lit(0))
-
+    system = F.first("role").over(order) == "system"
+    numbered = shown.select(
+        "conv_id", "tokens", "head", "body", "role",
+        F.row_number().over(order).alias("n"),
+        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("at"),
+        F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long").alias("char"),
+        F.when(system, 1).otherwise(0).alias("n_system"),
+        F.when(system, F.first("tokens").over(order)).otherwise(F.lit(0)).cast("long").alias("system_tokens"),
+    )
+    # Turns hold one token at least, so no more than ``history`` of them lie in this frame.
+    near = F.collect_list(F.struct("n", "at")).over(talk.orderBy("at").rangeBetween(-history, -1))
+    room = F.least(F.lit(history), F.lit(budget) - F.col("system_tokens") - F.col("tokens"))
+    kept = F.filter("near", lambda t: (t["n"] > F.col("n_system")) & (F.col("at") - t["at"] <= room))
+    oldest = F.array_min(kept)
+    placed = numbered.withColumn("near", near).withColumn("oldest", oldest)
+    turn = F.struct(
+        "n", "at", "tokens", "char", "n_system",
+        # Where a window that opens with this turn starts to repeat, and the tokens it repeats.
+        F.coalesce(F.col("oldest")["n"], F.col("n")).alias("from"),
+        (F.when(F.col("n") > 1, F.col("system_tokens")).otherwise(F.lit(0)) + F.coalesce(F.col("at") - F.col("oldest")["at"], F.lit(0))).alias("base"),
+        (F.col("role") == "assistant").alias("is_target"),
+        F.char_length("head").alias("head_size"),
+        F.char_length("body").alias("body_size"),
+        F.concat("head", "body", F.lit(_END)).alias("shown"),
+    )
+    talks = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     state = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("at"))
 
     def step(s, t):
         fits = (t["n"] == 1) | (s["base"] + t["at"] + t["tokens"] - s["at"] <= budget)
-        opened = F.struct(F.concat(s["starts"], F.array(t["n"])).alias("starts"), base(t["at"], t["n"]).cast("long").alias("base"), t["at"].alias("at"))
-        return F.when(fits, s).otherwise(opened)
+        return F.when(fits, s).otherwise(F.struct(F.concat(s["starts"], F.array(t["n"])).alias("starts"), t["base"].alias("base"), t["at"].alias("at")))
 
     starts = F.aggregate("turns", state, step, lambda s: s["starts"])
-    planned = talks.select("conv_id", "turns", "n", "has_system", starts.alias("starts"))
-    planned = planned.select("conv_id", "turns", "n", "has_system", "starts", F.posexplode("starts").alias("window", "start"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1) - 1, F.col("n"))
-    at = F.element_at("turns", F.col("start"))["at"]
-    near = F.filter("turns", lambda t: (t["n"] < F.col("start")) & (t["n"] > F.col("has_system")) & (at - t["at"] <= history))
-    spans = planned.select("conv_id", "turns", "window", "start", end.alias("end"), F.when(F.col("start") > 1, F.col("has_system")).otherwise(F.lit(0)).alias("n_system"), F.coalesce(F.get(near, F.lit(0))["n"], F.col("start")).alias("from"))
-    system = F.slice("turns", F.lit(1), F.col("n_system"))
-    run = F.slice("turns", F.col("from"), F.col("end") - F.col("from") + 1)
-    cut = spans.select("conv_id", "window", "start", (F.col("n_system") + F.col("start") - F.col("from")).alias("n_repeated"), F.concat(system, run).alias("picked"), F.col("n_system"))
+
+    def window(start, i):
+        first = F.element_at("turns", start)
+        end = F.coalesce(F.get("starts", i + 1) - 1, F.size("turns"))
+        lead = F.slice("turns", F.lit(1), F.when(start > 1, first["n_system"]).otherwise(F.lit(0)))
+        return F.struct(i.alias("window"), start.alias("start"), F.size(lead).alias("n_system"), first["from"].alias("from"), F.concat(lead, F.slice("turns", first["from"], end - first["from"] + 1)).alias("picked"))
+
+    spans = talks.select("conv_id", "turns", starts.alias("starts")).select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
     # Places of the picked turns in the window: the system turn first, the others as they lie in the conversation.
-    lead = F.when(F.col("n_system") > 0, F.col("picked")[0]["head_size"] + F.col("picked")[0]["body_size"] + len(_END)).otherwise(F.lit(0))
+    first = F.col("picked")[0]
+    lead = F.when(F.col("n_system") > 0, first["head_size"] + first["body_size"] + len(_END)).otherwise(F.lit(0))
     origin = F.element_at("picked", F.col("n_system") + 1)["char"]
     targets = F.filter("picked", lambda t: t["is_target"] & (t["n"] >= F.col("start")))
     mask = F.transform(targets, lambda t: F.struct((F.col("lead") + t["char"] - F.col("origin") + t["head_size"]).cast("long").alias("start"), t["body_size"].cast("long").alias("length")))
     tokens = F.aggregate("picked", F.lit(0).cast("long"), lambda s, t: s + t["tokens"])
-    return cut.select("*", lead.alias("lead"), origin.alias("origin")).select(
-        "conv_id", F.col("window").cast("long").alias("window"), F.col("n_repeated").cast("long").alias("n_repeated"), tokens.alias("n_tokens"), F.array_join(F.transform("picked", lambda t: t["shown"]), "").alias("text"), mask.alias("mask")
-    )
+    return spans.select("*", lead.alias("lead"), origin.alias("origin")).select(
+        "conv_id", F.col("window").cast("long").alias("window"), (F.col("n_system") + F.col("start") - F.col("from")).cast("long").alias("n_repeated"), tokens.alias("n_tokens"),
+        F.array_join(F.transform("picked", lambda t: t["shown"]), "").alias("text"), mask.alias("mask"),
+    )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -145,7 +155,8 @@ placed AS (
   FROM turns),
 near AS (
   SELECT a.conv_id, a.n, a.pos, a.tokens, coalesce(min(b.n), a.n) AS hist, CASE WHEN any_value(a.has_system) THEN any_value(a.first_tokens) ELSE 0 END + coalesce(a.pos - min(b.pos), 0) AS base
-  FROM placed a LEFT JOIN placed b ON b.conv_id = a.conv_id AND b.n < a.n AND b.n > CAST(a.has_system AS INT) AND a.pos - b.pos <= {HISTORY}
+  FROM placed a LEFT JOIN placed b ON b.conv_id = a.conv_id AND b.n < a.n AND b.n > CAST(a.has_system AS INT) 
+    AND a.pos - b.pos <= least({HISTORY}, {BUDGET} - a.tokens - CASE WHEN a.has_system THEN a.first_tokens ELSE 0 END)
   GROUP BY a.conv_id, a.n, a.pos, a.tokens),
 walk AS (
   SELECT conv_id, n, n AS start, CAST(0 AS BIGINT) AS base, pos AS since FROM near WHERE n = 1
