@@ -273,8 +273,81 @@ def test_packing_mixes_small_sources_and_honours_their_targets(spark, monkeypatc
     by_seq = check_pieces(pieces, docs, ids, 64)
     for s in range(8 * each // 16 - 1):
         assert 10 <= sum(p.length for p in by_seq[s] if p.source == "s05") <= 16
-    with pytest.raises(ValueError):
-        packed(spark, docs, width=64, targets={"s05": 0.01})
+    pieces, ids = packed(spark, docs, width=64, targets={"s05": 0.01})
+    check_pieces(pieces, docs, ids, 64)
+    mine = [p for p in pieces if p.source == "s05"]
+    for k in (50, 100):
+        assert abs(sum(p.length for p in mine if p.sequence_id < k) - 0.64 * k) <= 1
+    for bad in ({"s05": -0.1}, {"s05": 0.7, "big": 0.4}):
+        with pytest.raises(ValueError):
+            packed(spark, docs, width=64, targets=bad)
+
+
+def test_packing_gives_unnamed_sources_the_rest(spark):
+    docs = [(i, "alpha beta gamma " * 50, "x", "abc"[i % 3]) for i in range(60)]
+    pieces, ids = packed(spark, docs, width=64, targets={"a": 0.75})
+    by_seq = check_pieces(pieces, docs, ids, 64)
+    for s in range(10):
+        got = Counter()
+        for p in by_seq[s]:
+            got[p.source] += p.length
+        assert got == {"a": 48, "b": 8, "c": 8}
+    pieces, ids = packed(spark, docs, width=64, targets={"a": 1.0, "absent": 0.0})
+    by_seq = check_pieces(pieces, docs, ids, 64)
+    n = sum(len(x) for x, d in zip(ids, docs, strict=True) if d[3] == "a")
+    assert all(p.source == "a" for s in range(n // 64) for p in by_seq[s]) and max(p.sequence_id for p in pieces if p.source == "a") <= n // 64
+    # Groups of parts are placed as all at once.
+    assert packing._groups([(0, 300_000), (1, 100_000), (2, 1), (3, 500_000)]) == [(0, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_against_plain_counting(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(30):
+        width, k = int(rng.choice([16, 64, 256])), int(rng.integers(1, 6))
+        totals = [int(x) for x in rng.integers(0, 3000, k)]
+        weights = rng.random(k) ** 4
+        weights[rng.random(k) < 0.2] = 0
+        if sum((weights > 0) & (weights / max(weights.sum(), 1e-9) * width < 2)) > width // 4:
+            continue
+        plan = packing.Schedule(totals, list(weights), width)
+        n = plan.n_sequences
+        at = [plan.place(np.full(n + 1, q), np.arange(n + 1)) for q in range(k)]
+        given, offset = np.array([a for a, _ in at]), np.array([b for _, b in at])
+        counts = np.diff(given, axis=1)
+        assert (counts >= 0).all() and (given[:, -1] == totals).all()
+        assert (counts.sum(axis=0) == np.repeat(plan.sizes[:, 1], plan.sizes[:, 0])).all()
+        for m in range(n):
+            upto = 0
+            for o, c in sorted((offset[q, m], counts[q, m]) for q in range(k) if counts[q, m]):
+                assert o == upto
+                upto += c
+        # While all with a weight last, each has its share but for a carried part.
+        share, m = weights / weights.sum() if weights.any() else weights, 0
+        while m < n and all(given[q, m + 1] < totals[q] for q in range(k) if weights[q]) and weights.any():
+            m += 1
+            assert (abs(given[:, m] - share * width * m) <= 2 + k).all()
+        for q in np.flatnonzero(totals):
+            cuts = np.unique([0, *rng.integers(0, totals[q], 4), totals[q]])
+            owner, lo, size, seq, off = plan.pieces(np.full(len(cuts) - 1, q), cuts[:-1], np.diff(cuts))
+            start = cuts[owner] + lo
+            assert (start == np.cumsum(size) - size).all() and size.sum() == totals[q]
+            assert (given[q, seq] <= start).all() and (start + size <= given[q, seq + 1]).all() and (off == offset[q, seq] + start - given[q, seq]).all()
+
+
+def test_schedule_of_large_queues_is_exact_and_short():
+    for totals, weights in [([4 * 10**10, 10**10],) * 2, ([10**13, 10**10, 5 * 10**12],) * 2, ([10**13, 10**9], [0.9999, 0.0001]), ([10**13, 7], [1.0, 0.0])]:
+        plan = packing.Schedule(totals, weights)
+        assert len(plan.sizes) <= 2 * len(totals) + 12
+        queue = np.arange(len(totals))
+        assert plan.place(queue, np.full(len(queue), plan.n_sequences))[0].tolist() == totals
+        last = np.array(totals) - 5
+        owner, lo, size, seq, off = plan.pieces(queue, last, np.full(len(queue), 5))
+        assert size.sum() == 5 * len(queue) and (off + size <= packing.WIDTH).all()
+    half = plan.place(np.array([0]), np.array([10**9]))[0]
+    assert half.tolist() == [10**9 * packing.WIDTH]
+    for m in (1, 10**6, 4 * 10**9):
+        assert abs(int(packing.Schedule([10**13, 10**9], [0.9999, 0.0001]).place(np.array([1]), np.array([m]))[0][0]) - 0.0001 * packing.WIDTH * m) <= 1 + 1e-6 * m
 
 
 def test_packing_with_targets_small_sources_and_empty_table(spark):

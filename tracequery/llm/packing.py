@@ -3,19 +3,24 @@
 Documents are tokenized whole and closed by an end id.  Each source is a queue
 of tokens; every sequence is filled from all queues in their target token
 proportions.  A queue's share of a sequence is rarely a whole number, so it is
-given the whole part and its deficit is carried to the next sequence: before
-sequence m of a phase, queues 1..k together have been given
-floor(m * width * P_k) tokens, P_k being their joint target proportion.  This
-closed form lets every partition compute where its own documents' tokens lie,
-with the deficits that all earlier sequences and partitions left, and no token
-is shuffled.  A phase ends when a queue runs short; the sequence between two
-phases takes what that queue has left and fills up from the others.
+given the whole part and its deficit is carried to the next sequence.  In
+closed form: a queue of a share s below two tokens a sequence has been given
+floor(m * s) before sequence m of a phase; of the R(m) tokens that all these
+leave, the other queues 1..k have together been given floor(R(m) * Q_k), with
+Q_k their joint proportion.  So every partition computes where its own
+documents' tokens lie, with the deficits that all earlier sequences and
+partitions left, and no token is shuffled.  A phase ends when a queue runs
+short; the sequence between two phases takes what that queue has left and
+fills up from the others, in proportion.  Every phase but the last ends a
+queue, so there are at most two for each queue; without targets all queues end
+together, after a few.
 
 The queues' places come from prefix sums in two steps: within each written
-part, and over the (source, part) totals.  A source that would get less than
-one token a sequence and has no target shares a queue with others like it, so
-there are at most ``width`` + 1 queues and one for each target, and only their
-totals reach the driver.
+part, and over the (source, part) totals.  A source without a target that
+would get less than two tokens a sequence shares a queue with others like it,
+so there are at most ``width`` / 2 queues and one for each target, and only
+their totals reach the driver.  Places are broadcast to groups of parts whose
+totals are at most ``GROUP_ROWS`` rows, or one chunk of ``CHUNK`` parts.
 
 Within the shared queue whole documents are dealt by their sources' deficits:
 a document's turn is the share of its source's tokens before a point within
@@ -29,7 +34,8 @@ tokens becomes sequences whose lengths are powers of two, so nothing is padded.
 
 Defined results: a null text is empty and holds the end id alone; a null
 source is a queue of its own; repeated rows are packed each; an empty table
-gives no pieces; extra columns are not read.
+gives no pieces; a text of any length is one document in as many pieces as it
+needs; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -48,8 +54,10 @@ from . import textkit as tk
 
 WIDTH, END = 2048, 1
 SCALE = 28
-#: Tokens of the shared queue whose documents are sorted together.
-SLICE_TOKENS = 1 << 22
+#: Tokens of the shared queue whose documents are sorted together, and slices whose sums are added up together.
+SLICE_TOKENS, SLICES = 1 << 24, 1 << 12
+#: Written parts in a folder of their own, and rows of places that are broadcast together.
+CHUNK, GROUP_ROWS = 64, 400_000
 
 
 #: Kinds of bytes in words: letters, digits, signs, and those that only the tokenizer itself should cut up.
@@ -166,7 +174,7 @@ def encoder(path: str) -> UnitEncoder:
 
 
 def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """One row for each document, written once: doc_id, source, part, before (tokens of its source earlier in its part), n_tokens, ids."""
+    """One row for each document, written once by chunk: doc_id, source, part, before (tokens of its source earlier in its part), n_tokens, ids, chunk."""
 
     def encode(batches):
         from pyspark import TaskContext
@@ -184,76 +192,108 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                     before.append(filled.get(s, 0))
                     filled[s] = before[-1] + int(sizes[i])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.lo, block.n), pa.array(sources, pa.string()), pa.array([part] * block.n, pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())],
-                    ["doc_id", "source", "part", "before", "n_tokens", "ids"],
+                    [batch.column("doc_id").slice(block.lo, block.n), pa.array(sources, pa.string()), pa.array([part] * block.n, pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), pa.array([part // CHUNK] * block.n, pa.int64())],
+                    ["doc_id", "source", "part", "before", "n_tokens", "ids", "chunk"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
-    return scratch.cut(rows.mapInArrow(encode, "doc_id long, source string, part long, before long, n_tokens long, ids binary"), "pack-tokens")
+    written = rows.mapInArrow(encode, "doc_id long, source string, part long, before long, n_tokens long, ids binary, chunk long")
+    return scratch.cut(written, "pack-tokens", by=["chunk"])
+
+
+def _scaled(x, f):
+    """floor(x * f / 2**SCALE) for whole x, f >= 0 without overflow, as long as the result fits."""
+    return (x >> SCALE) * f + ((x & ((1 << SCALE) - 1)) * (f & ((1 << SCALE) - 1)) >> SCALE) + (x & ((1 << SCALE) - 1)) * (f >> SCALE)
 
 
 class Schedule:
     """How many tokens each queue has given before each sequence.
 
-    Phases are lists in step: first sequence, width, tokens given before by each
-    queue, and either joint proportions (scaled by 2**SCALE) or the numbers that
-    each queue gives to the phase's one sequence.
+    A phase is its first sequence, the number and width of its sequences, the
+    tokens that each queue has given before, and either rates (``small``: tokens
+    a sequence, of queues below two; ``joint``: the others' joint proportions;
+    both scaled by 2**SCALE) or the numbers that each queue gives to its one
+    sequence.
     """
 
     def __init__(self, totals: list[int], weights: list[float], width: int = WIDTH):
-        left = np.array(totals, np.int64)
-        given = np.zeros_like(left)
-        self.width, self.first, self.given, self.joint, self.sizes = width, [0], [], [], []
-        while left.sum() >= width:
-            w = np.where(left > 0, weights, 0.0)
-            if not w.sum():
-                w = np.where(left > 0, 1.0, 0.0)
-            joint = np.round(np.cumsum(w / w.sum()) * (1 << SCALE)).astype(np.int64)
-            joint[np.flatnonzero(w)[-1] :] = 1 << SCALE
-            most = -(-width * np.diff(joint, prepend=0) >> SCALE) + 1
-            live = most > 1
-            # A queue can get one token more than its share over the whole phase.
-            n = int(((left[live] - 1) * (1 << SCALE) // (width * np.diff(joint, prepend=0)[live])).min())
-            if n > 0 and (np.diff(joint, prepend=0)[live] * width >= 1 << SCALE).all():
-                self._add(n, width, given, joint)
-                gave = np.diff(self._upto(n, joint, width), prepend=0)
+        k = len(totals)
+        left, given = np.array(totals, np.int64), np.zeros(k, np.int64)
+        weights = np.array(weights, float)
+        self.width = width
+        first, before, small, joint, took, sizes = [0], [], [], [], [], []
+
+        def add(n, size, own_small, own_joint, gave):
+            before.append(given.copy())
+            small.append(own_small)
+            joint.append(own_joint)
+            took.append(gave)
+            sizes.append((n, size))
+            first.append(first[-1] + n)
+
+        none = np.zeros(k, np.int64)
+        while int(left.sum()) >= width:
+            w = self._shares(left, weights)
+            rate = np.where(w * width < 2, np.floor(w * width * (1 << SCALE)), 0).astype(np.int64)
+            large = np.where(w * width < 2, 0.0, w)
+            if large.sum() * width * 2 < width:
+                raise ValueError("too many targets below two tokens a sequence")
+            proportion = np.floor(large / large.sum() * (1 << SCALE)).astype(np.int64)
+            proportion[int(np.argmax(large))] += (1 << SCALE) - int(proportion.sum())
+            own_joint = np.cumsum(proportion)
+            gave = lambda n: self._rated(n, rate, own_joint, width)  # noqa: E731, B023
+            lo, hi = 0, int(left.sum()) // width
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if (gave(mid) <= left).all() else (lo, mid - 1)
+            if lo:
+                add(lo, width, rate, own_joint, none)
+                now = gave(lo)
             else:
-                gave = self._share(left, w, width)
-                self._add(1, width, given, np.cumsum(gave))
-            given, left = given + gave, left - gave
+                # What queues that would run short have left, then the others in proportion.
+                last = gave(1) > left
+                now = np.where(last, left, 0)
+                now += self._share(left - now, weights, width - int(now.sum()))
+                add(1, width, none, none, now)
+            given, left = given + now, left - now
         rest = int(left.sum())
         for bit in reversed(range(rest.bit_length())):
             if rest >> bit & 1:
-                gave = self._share(left, np.where(left > 0, weights, 0.0), 1 << bit)
-                self._add(1, 1 << bit, given, np.cumsum(gave))
-                given, left = given + gave, left - gave
-        self.first = np.array(self.first, np.int64)
-        self.given = np.array([*self.given, given], np.int64)
-        self.joint = np.array(self.joint, np.int64).reshape(len(self.sizes), len(totals))
-
-    def _add(self, n: int, width: int, given: np.ndarray, joint: np.ndarray):
-        self.given.append(given.copy())
-        self.joint.append(joint)
-        self.sizes.append((n, width))
-        self.first.append(self.first[-1] + n)
+                now = self._share(left, weights, 1 << bit)
+                add(1, 1 << bit, none, none, now)
+                given, left = given + now, left - now
+        grid = lambda rows: np.array(rows, np.int64).reshape(len(rows), k)
+        self.first = np.array(first, np.int64)
+        self.sizes = np.array(sizes, np.int64).reshape(-1, 2)
+        self.given = grid([*before, given])
+        self.small, self.joint = grid(small), grid(joint)
+        self.took = np.cumsum(grid(took), axis=1)
+        #: Queues that have a rate below two in some phase.
+        self.rated = np.flatnonzero(self.small.any(axis=0)) if k else np.zeros(0, np.int64)
 
     @staticmethod
-    def _upto(m, joint, width):
-        """floor(m * width * joint / 2**SCALE) without overflow."""
-        a = width * joint
-        return m * (a >> SCALE) + (m * (a & ((1 << SCALE) - 1)) >> SCALE)
+    def _shares(left: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Proportions of queues that have tokens left; of what they have left where none has a weight."""
+        w = np.where(left > 0, weights, 0.0)
+        if not w.sum():
+            w = left.astype(float)
+        return w / w.sum()
 
     @staticmethod
-    def _share(left: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
-        """``size`` tokens from queues in proportion to w, from what they have left; queues before others where a part is over."""
+    def _rated(n: int, rate: np.ndarray, joint: np.ndarray, width: int) -> np.ndarray:
+        """What each queue gives to the first n sequences of a phase with rates."""
+        low = _scaled(n, rate)
+        others = _scaled(n * width - int(low.sum()), joint)
+        return low + np.diff(others, prepend=0)
+
+    @classmethod
+    def _share(cls, left: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        """``size`` tokens from queues in proportion to their weights, from what they have left; queues before others where a part is over."""
         gave = np.zeros_like(left)
         while (lack := size - int(gave.sum())) > 0:
-            open_ = left > gave
-            p = np.where(open_, w, 0.0)
-            p = p / p.sum() if p.sum() else open_ / open_.sum()
-            more = np.minimum((p * lack).astype(np.int64), left - gave)
+            more = np.minimum((cls._shares(left - gave, weights) * lack).astype(np.int64), left - gave)
             if not more.sum():
-                more[np.flatnonzero(open_)[:lack]] = 1
+                more[np.flatnonzero(left > gave)[:lack]] = 1
             gave += more
         return gave
 
@@ -261,21 +301,26 @@ class Schedule:
         """Tokens a queue has given before sequence n, and its first offset in that sequence."""
         phase = np.minimum(np.searchsorted(self.first, n, "right") - 1, len(self.sizes) - 1)
         m = n - self.first[phase]
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 2)
-        width = sizes[phase, 1]
-        below = np.where(queue > 0, self.joint[phase, np.maximum(queue - 1, 0)], 0)
+        width = self.sizes[phase, 1]
+        before = np.maximum(queue - 1, 0)
+        below = np.where(queue > 0, self.joint[phase, before], 0)
         own = self.joint[phase, queue]
-        scaled = self._is_scaled[phase]
-        lo0, hi0 = self._upto(m, below, width), self._upto(m, own, width)
-        lo1 = self._upto(m + 1, below, width)
-        given = np.where(scaled, hi0 - lo0, np.where(m > 0, own - below, 0))
-        offset = np.where(scaled, lo1 - lo0, below)
+        # What the others leave before this sequence and the next one; queues below two lie behind the others.
+        leave, after, earlier = m * width, (m + 1) * width, np.zeros_like(m)
+        for j in self.rated.tolist():
+            rate = self.small[phase, j]
+            a, b = _scaled(m, rate), _scaled(m + 1, rate)
+            leave, after = leave - a, after - b
+            earlier += np.where(queue > j, b - a, 0)
+        rate = self.small[phase, queue]
+        rated = self.joint[phase, -1] > 0
+        lo = _scaled(leave, below)
+        large = _scaled(leave, own) - lo
+        took = np.where(queue > 0, self.took[phase, before], 0)
+        given = np.where(rated, np.where(rate > 0, _scaled(m, rate), large), np.where(m > 0, self.took[phase, queue] - took, 0))
+        offset = np.where(rated, np.where(rate > 0, after - leave + earlier, _scaled(after, below) - lo), took)
         return self.given[phase, queue] + given, offset
 
-    @property
-    def _is_scaled(self) -> np.ndarray:
-        return self.joint[:, -1] == 1 << SCALE if len(self.joint) else np.zeros(0, bool)
-
     @property
     def n_sequences(self) -> int:
         return int(self.first[-1])
@@ -292,17 +337,34 @@ class Schedule:
         return lo
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """Cuts token ranges of queues at sequence bounds: owner, start within the range, length, sequence, offset."""
-        last = self.find(queue, start + size - 1)
+        """Cuts token ranges of queues at sequence bounds: owner, start within the range, length, sequence, offset.
+
+        A queue below one token a sequence skips sequences, which hold none of a range's tokens.
+        """
+        owners, seqs = [], []
+        upto, end = start.copy(), start + size
+        last = self.find(queue, end - 1)
         first = self.find(queue, start)
-        count = last - first + 1
-        owner = np.repeat(np.arange(len(queue)), count)
-        seq = first[owner] + tk.ragged(count)
+        skips = last - first + 1 > size
+        near = np.flatnonzero(~skips)
+        count = (last - first + 1)[near]
+        owners.append(np.repeat(near, count))
+        seqs.append(first[owners[0]] + tk.ragged(count))
+        # Sparse ranges: from one sequence that holds tokens to the next such one.
+        open_ = np.flatnonzero(skips)
+        while len(open_):
+            seq = self.find(queue[open_], upto[open_])
+            owners.append(open_)
+            seqs.append(seq)
+            upto[open_] = self.place(queue[open_], seq + 1)[0]
+            open_ = open_[upto[open_] < end[open_]]
+        owner, seq = np.concatenate(owners), np.concatenate(seqs)
         at, offset = self.place(queue[owner], seq)
         after, _ = self.place(queue[owner], seq + 1)
         lo = np.maximum(at, start[owner])
-        hi = np.minimum(after, (start + size)[owner])
-        real = hi > lo
+        hi = np.minimum(after, end[owner])
+        real = np.flatnonzero(hi > lo)
+        real = real[np.lexsort((lo[real], owner[real]))]
         owner, seq, at, offset, lo, hi = (x[real] for x in (owner, seq, at, offset, lo, hi))
         return owner, lo - start[owner], hi - lo, seq, offset + lo - at
 
@@ -315,61 +377,91 @@ def _turns(tokens: DataFrame, bases: DataFrame, size: int) -> DataFrame:
     docs = tokens.select("source", "part", "before", "n_tokens").join(bases, ["source", "part"])
     docs = docs.withColumn("turn", (F.col("own") + F.col("before") + point * F.col("n_tokens")) / F.col("all"))
     docs = docs.withColumn("slice", F.least(F.floor(F.col("turn") * slices), F.lit(slices - 1)))
-    sums = docs.groupBy("slice").agg(F.sum("n_tokens").alias("n"))
-    sums = sums.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    order = Window.partitionBy("slice").orderBy("turn", "source", "part", "before").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = docs.groupBy("slice").agg(F.sum("n_tokens").alias("n")).withColumn("heap", F.floor(F.col("slice") / SLICES))
+    heaps = sums.groupBy("heap").agg(F.sum("n").alias("n"))
+    heaps = heaps.select("heap", F.coalesce(F.sum("n").over(earlier(Window.orderBy("heap"))), F.lit(0)).alias("heaps_before"))
+    sums = sums.withColumn("within", F.coalesce(F.sum("n").over(earlier(Window.partitionBy("heap").orderBy("slice"))), F.lit(0)))
+    sums = sums.join(heaps, "heap").select("slice", (F.col("heaps_before") + F.col("within")).alias("first"))
+    order = earlier(Window.partitionBy("slice").orderBy("turn", "source", "part", "before"))
     placed = docs.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(sums, "slice")
     return placed.select("source", "part", "before", (F.col("first") + F.col("ahead") - F.col("before")).alias("base"))
 
 
+def _weights(by_source: DataFrame, targets: dict[str, float], width: int) -> tuple[list[tuple[str, int, float]], int, float]:
+    """(source, tokens, share) of sources with a queue of their own; tokens and share of the others together.
+
+    Named sources have their targets; the others share what these leave in proportion to their tokens.
+    """
+    if min(targets.values(), default=0) < 0 or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("targets are proportions that add up to 1 at most")
+    named = {r.source: r.n for r in by_source.where(F.col("source").isin(list(targets))).collect()} if targets else {}
+    others = by_source.where(~F.col("source").isin(list(targets))) if targets else by_source
+    other_tokens = others.agg(F.sum("n")).first()[0] or 0
+    rest = max(0.0, 1 - sum(targets.values())) if targets else 1.0
+    own = [(s, n, targets[s]) for s, n in sorted(named.items())]
+    # Without a share they come last, by what they have.
+    least = 2 * other_tokens / (width * (rest if rest > 1e-9 else 1.0))
+    share = lambda n: rest * n / other_tokens if rest > 1e-9 else 0.0
+    own += [(r.source, r.n, share(r.n)) for r in others.where(F.col("n") >= least).orderBy("source").collect()]
+    small = other_tokens - sum(n for s, n, _ in own if s not in named)
+    return own, small, share(small) if small else 0.0
+
+
+def _groups(rows_of_chunk: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of chunks whose places are at most GROUP_ROWS rows together, or one chunk."""
+    out, held = [], 0
+    for chunk, n in sorted(rows_of_chunk):
+        if out and held + n <= GROUP_ROWS:
+            out[-1] = (out[-1][0], chunk)
+            held += n
+        else:
+            out.append((chunk, chunk))
+            held = n
+    return out
+
+
 def pack(docs: DataFrame, path: str, width: int = WIDTH, end: int = END, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    ``targets`` gives each source's target proportion; sources it doesn't name,
-    and all without it, get their share of all tokens, which lasts to the end.
-    A source that has less than one token a sequence can't have a target below
-    one token a sequence either: that raises ValueError.
+    ``targets`` gives sources their target proportions, 1 together at most.
+    Sources it doesn't name share the rest in proportion to their tokens, and
+    come last where there is no rest.  When a source runs out, its share goes to
+    those left, in proportion.  Targets of the empty string mean a null source.
+    More than a quarter of ``width`` targets below two tokens a sequence can
+    raise ValueError, as do negative ones and those beyond 1.
     """
     spark = docs.sparkSession
-    targets = targets or {}
     tokens = tokenize(docs, path, end)
     totals = scratch.cut(tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "pack-totals")
-    by_source = totals.groupBy("source").agg(F.sum("n").alias("n"))
-    all_tokens = by_source.agg(F.sum("n")).first()[0] or 0
-    large = F.col("n") * width >= all_tokens
-    own = by_source.where(large | F.col("source").isin(list(targets)) if targets else large).orderBy("source").collect()
-    for r in own:
-        if r.n * width < all_tokens and targets[r.source] * width < 1:
-            raise ValueError(f"target of source {r.source!r} is less than one token a sequence: {targets[r.source]}")
-    queue_of = {r.source: i for i, r in enumerate(own)}
-    sums = [r.n for r in own]
-    small = all_tokens - sum(sums)
-    # The shared queue of small sources comes last, or joins the last one if it is small itself.
-    shared_queue = len(sums)
-    if small and (small * width >= all_tokens or not sums):
+    own, small, small_share = _weights(totals.groupBy("source").agg(F.sum("n").alias("n")), targets or {}, width)
+    shared_queue = len(own)
+    sums, weights = [n for _, n, _ in own], [w for _, _, w in own]
+    if small:
         sums.append(small)
-    elif small:
-        shared_queue = len(sums) - 1
-        sums[-1] += small
-    weights = [float(n) for n in sums]
-    for s, w in targets.items():
-        if s in queue_of:
-            weights[queue_of[s]] = w * all_tokens
+        weights.append(small_share)
     schedule = spark.sparkContext.broadcast(Schedule(sums, weights, width))
-    known = spark.createDataFrame([(s, i) for s, i in queue_of.items()], "source string, queue long")
-    queue = F.coalesce("queue", F.lit(shared_queue)).cast("long")
+    known = spark.createDataFrame([(s, i) for i, (s, _, _) in enumerate(own)], "source string, queue long")
     of_source = Window.partitionBy("source")
     before = of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.join(F.broadcast(known), "source", "left").withColumn("queue", queue)
+    # At most width / 2 sources and those with targets are known.
+    bases = totals.join(F.broadcast(known), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(shared_queue)).cast("long"))
     bases = bases.withColumns({"own": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(of_source)})
     bases = scratch.cut(bases.select("source", "part", "queue", "own", "all"), "pack-bases")
     shared = F.col("queue") == shared_queue
-    placed = tokens.join((bases.where(~shared) if small else bases).withColumnRenamed("own", "base"), ["source", "part"])
     columns = ["doc_id", "source", "queue", "base", "before", "n_tokens", "ids"]
-    placed = placed.select(*columns)
+    apart = bases.where(~shared).select("source", "part", "queue", F.col("own").alias("base"))
+    chunk = F.floor(F.col("part") / CHUNK)
+    placed = None
+    for lo, hi in _groups([tuple(r) for r in apart.groupBy(chunk.alias("chunk")).count().collect()]):
+        mine = tokens.where(F.col("chunk").between(lo, hi)).join(F.broadcast(apart.where(chunk.between(lo, hi))), ["source", "part"]).select(*columns)
+        placed = mine if placed is None else placed.unionByName(mine)
     if small:
-        turns = scratch.cut(_turns(tokens, bases.where(shared), sums[shared_queue]), "pack-turns")
-        placed = placed.unionByName(tokens.join(turns, ["source", "part", "before"]).withColumn("queue", F.lit(shared_queue).cast("long")).select(*columns))
+        turns = scratch.cut(_turns(tokens, bases.where(shared), small), "pack-turns")
+        mine = tokens.join(turns, ["source", "part", "before"]).withColumn("queue", F.lit(shared_queue).cast("long")).select(*columns)
+        placed = mine if placed is None else placed.unionByName(mine)
+    if placed is None:
+        placed = tokens.select("doc_id", "source", F.lit(0).cast("long").alias("queue"), F.lit(0).cast("long").alias("base"), "before", "n_tokens", "ids")
 
     def cut_up(batches):
         plan = schedule.value

@@ -31,12 +31,12 @@ def folder(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder once and returns the written table."""
+def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Writes a frame to the shared folder once and returns the written table; ``by``: columns with a folder for each value."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     # Spark removes the shuffle files of finished jobs once the driver's JVM has collected their plans.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
