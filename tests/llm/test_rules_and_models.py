@@ -324,7 +324,7 @@ def test_schedule_against_plain_counting(seed):
                 upto += c
         # While all with a weight last, each has its share but for a carried part.
         share, m = weights / weights.sum() if weights.any() else weights, 0
-        while m < n and all(given[q, m + 1] < totals[q] for q in range(k) if weights[q]) and weights.any():
+        while m < sum(totals) // width and all(given[q, m + 1] < totals[q] for q in range(k) if weights[q]) and weights.any():
             m += 1
             assert (abs(given[:, m] - share * width * m) <= 2 + k).all()
         for q in np.flatnonzero(totals):
