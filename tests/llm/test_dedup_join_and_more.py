@@ -72,39 +72,96 @@ def brute_dedup(rows, window=13):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup_against_brute_force(spark, seed, monkeypatch):
     rows = corpus(seed)
-    got = substring_dedup.scan(frame(spark, rows).repartition(3)).drop("n_factors")
+    got = substring_dedup.scan(frame(spark, rows).repartition(3)).drop("factors")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_dedup(rows)
 
 
-def test_substring_dedup_across_small_blocks(spark):
-    rows = corpus(3)
-    sent, targets = [], []
-    table = pa.table({"doc": [substring_dedup.LAST_ID if d is None else d for d, _ in rows], "text": pa.array([t for _, t in rows], pa.string())})
-    docs = np.asarray(table["doc"])
-    tags = np.arange(len(rows)).astype(np.uint32)
-    for block in textkit.blocks(table["text"], 700):
+def brute_parse(rows, window=13):
+    """Greedy factors by definition: the longest match with any novel span of a smaller id, tried at every offset."""
+    first, words = {}, {d: SPACED.findall(t or "") for d, t in rows}
+    for d in sorted(words):
+        for i in range(len(words[d]) - window + 1):
+            first.setdefault(tuple(words[d][i : i + window]), (d, i))
+    spans = defaultdict(list)
+    for d, i in sorted(first.values()):
+        if spans[d] and spans[d][-1][1] == i:
+            spans[d][-1][1] = i + 1
+        else:
+            spans[d].append([i, i + 1])
+    out = {}
+    for d, w in words.items():
+        at, out[d] = 0, []
+        while at + window <= len(w):
+            best = (0, 0, 0)
+            for r in spans:
+                if r < d:
+                    for lo, hi in spans[r]:
+                        for o in range(lo, hi + window - 1):
+                            n = 0
+                            while at + n < len(w) and o + n < hi + window - 1 and w[at + n] == words[r][o + n]:
+                                n += 1
+                            best = max(best, (n, r, o))
+            if best[0] >= window:
+                out[d].append((at, *best))
+            at += max(1, best[0]) if best[0] >= window else 1
+    return out
+
+
+def parsed_in_small_blocks(rows):
+    """The operator's steps over text blocks of 700 bytes, three index blocks and two targets."""
+    steps = [[], [], []]
+    docs = np.array([substring_dedup.LAST_ID if d is None else d for d, _ in rows])
+    texts, tags = pa.array([t for _, t in rows], pa.string()), np.arange(len(rows)).astype(np.uint32)
+    for block in textkit.blocks(texts, 700):
         for b in substring_dedup.phrases(block, docs[block.lo : block.hi], tags[block.lo : block.hi], 13, 3, 2):
             for r in b.to_pylist():
-                (targets if r["kind"] else sent).append(r)
+                steps[r["kind"]].append(r)
     for key in range(3):
-        if own := [r for r in sent if r["key"] == key]:
-            targets += substring_dedup.look_up(own, 2).to_pylist()
+        if own := [r for r in steps[0] if r["key"] == key]:
+            steps[2] += substring_dedup.look_up(own, 2).to_pylist()
     found = {}
+    settled = []
+    for key in range(2):
+        own = [r for r in steps[2] if r["key"] == key]
+        if told := [r for r in steps[1] if r["key"] == key]:
+            settled += substring_dedup.settle_told(told, own, 2).to_pylist()
     for key in range(2):
-        if own := [r for r in targets if r["key"] == key]:
+        if own := [r for r in [*steps[2], *settled] if r["key"] == key]:
             for r in substring_dedup.runs(own).to_pylist():
                 found[r["__tq_tag"]] = r["__tq_runs"]
-    want = brute_dedup(rows)
-    got = []
-    for block in textkit.blocks(table["text"], 10**6):
-        words = textkit.Words(block)
-        removed = substring_dedup._removed(words, [found.get(i) for i in range(len(rows))], 13)
-        total = np.concatenate([[0], np.cumsum(removed)])
-        got = [(d, int(total[words.first[i + 1]] - total[words.first[i]])) for i, (d, _) in enumerate(rows)]
-    assert sorted(got, key=repr) == sorted(((d, n) for d, _, n, _ in want), key=repr)
-    for rs in found.values():
-        for start, length, ref, at in substring_dedup.factors(rs):
-            assert length >= 1 and at >= 0 and ref >= 0 and start >= 0
+    (block,) = textkit.blocks(texts, 10**6)
+    words = textkit.Words(block)
+    return words, substring_dedup.Parse(words, [found.get(i) for i in range(len(rows))], 13)
+
+
+def test_substring_dedup_across_small_blocks():
+    rows = corpus(3)
+    words, parse = parsed_in_small_blocks(rows)
+    total = np.concatenate([[0], np.cumsum(parse.removed)])
+    got = [(d, int(total[words.first[i + 1]] - total[words.first[i]])) for i, (d, _) in enumerate(rows)]
+    assert sorted(got, key=repr) == sorted(((d, n) for d, _, n, _ in brute_dedup(rows)), key=repr)
+
+
+@pytest.mark.parametrize("seed", [3, 9])
+def test_factors_are_those_of_a_greedy_parse(spark, seed):
+    rows = list({d: t for d, t in corpus(seed, 60) if d is not None}.items())
+    want = brute_parse(rows)
+    _, parse = parsed_in_small_blocks(rows)
+    got = defaultdict(list)
+    for i, *factor in zip(parse.text.tolist(), parse.start.tolist(), parse.length.tolist(), parse.ref_doc.tolist(), parse.ref_start.tolist(), strict=True):
+        got[rows[i][0]].append(tuple(factor))
+    assert {d: got[d] for d, _ in rows} == want and sum(map(len, want.values())) > 20
+    scanned = substring_dedup.scan(frame(spark, rows).repartition(3)).collect()
+    assert {r.doc_id: [tuple(f) for f in r.factors] for r in scanned} == want
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    rng = random.Random(4)
+    w = [f"w{rng.randrange(50)}" for _ in range(60000)]
+    rows = [(1, " ".join(w)), (2, "new " + " ".join(w[100:50000]) + " end"), (3, " ".join(w[5:30]))]
+    got = {r.doc_id: r for r in substring_dedup.scan(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 49900, 25)
+    assert [tuple(f) for f in got[2].factors] == [(1, 49900, 1, 100)] and [tuple(f) for f in got[3].factors] == [(0, 25, 1, 5)]
 
 
 def test_substring_removal_keeps_columns_and_white_space(spark):

@@ -29,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.scan(table(spark, sf_dir, "documents")).drop("n_factors")
+    return substring_dedup.scan(table(spark, sf_dir, "documents")).drop("factors")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,35 @@
-"""Substring deduplication by exact lookup of phrases of ``window`` words.
-
-The reference is all documents; each is parsed against those with smaller
-ids.  Its index holds every phrase of ``window`` consecutive words by hash,
-cut into blocks by a second, independent hash: block by block, the phrases'
-first places are found, and each phrase that starts in a document with a
-smaller id comes back with that reference place.  Such a phrase is a duplicate
-span, and a word in any of them is removed.  Spans are judged on the input, not
-on what is left.
-
-``n_factors`` is a greedy count over the runs of phrases with consecutive
-reference places; it takes no part in what is removed.  A phrase has one
-reference place, so it is no relative Lempel-Ziv parse with longest matches.
+"""Substring deduplication by relative Lempel-Ziv parsing.
+
+The reference is the novel text of all documents: of every phrase of
+``window`` consecutive words the first place in the document with the least
+id.  It is indexed in blocks by the phrases' hashes, cut by a second,
+independent hash.  A document is parsed greedily, from left to right, against
+the novel text of documents with smaller ids: at a place whose phrase the
+index knows, the factor is the longest match with the reference that starts
+there, found by extending word by word along the reference; other words are
+literals.  Since a phrase stands in the reference once, that match is unique,
+and it ends where the next phrase's reference place doesn't follow.
+
+Factors of ``window`` words or more are duplicate spans.  A phrase that lies
+across the end of a factor isn't in any factor; those phrases are looked up at
+each factor boundary, and the ones that the index knows are duplicate spans
+too.  A word is removed if it lies in a duplicate span.  So exactly the words
+of known phrases are removed: a phrase that starts outside factors would start
+one.  Spans are judged on the input, not on what is left.
 
 What moves is packed: each task sends a phrase that it meets in many documents
-once, for the smallest id, and settles the others itself, so a passage that a
-third of all documents hold reaches its index block once per task.  A phrase
-is 56 bits of its hash within its block.  Blocks and the groups of documents
-that collect factors grow in number with the input.
+once, for the smallest id of the text block, and keeps for the other documents
+that they repeat that one; their reference places follow from its own, in one
+more exchange.  So a passage that a third of all documents hold reaches its
+index block once per text block.  A phrase is 56 bits of its hash within its
+block.  Blocks and the groups of documents that collect places grow in number
+with the input.
 
 Defined results: a null text has no words; a null id counts as the largest;
 rows that share an id are judged by themselves and are no reference for each
-other; equal rows get equal results; an empty table gives no rows; extra
-columns are kept by ``remove`` and not read by ``scan``.
+other; equal rows get equal results; a text of any length is parsed whole; an
+empty table gives no rows; extra columns are kept by ``remove`` and not read
+by ``scan``.
 """
 
 from __future__ import annotations
@@ -39,7 +47,9 @@ from . import textkit as tk
 WINDOW = 13
 LAST_ID = (1 << 63) - 1
 _SEED, _SEED_BLOCK = 3001, 3011
-_PARTS = ["docs", "counts", "places", "hashes", "ref_docs", "shifts"]
+_PARTS = ["docs", "counts", "places", "hashes", "ref_docs", "ref_tags", "shifts"]
+#: Kinds of packed rows: phrases for the index; places told by the place of their text block's least document; places with their reference.
+_PHRASE, _TOLD, _FOUND = 0, 1, 2
 _PACKED = "key int, kind int, " + ", ".join(f"{p} binary" for p in _PARTS)
 _RUNS = "array<struct<start:int,count:int,ref_doc:bigint,ref_start:int>>"
 _HASH_BYTES = 7
@@ -60,8 +70,8 @@ def _ungaps(gaps: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[heads] - gaps[heads], counts)
 
 
-def _pack(key: np.ndarray, kind: int, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, hashes=None, ref_doc=None, ref_place=None):
-    """Entries, sorted by key, row and place, as one packed row for each key."""
+def _pack(key: np.ndarray, kind: int, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, hashes=None, ref=None):
+    """Entries, sorted by key, row and place, as one packed row for each key; ``ref``: document, tag and place."""
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
     rows = {p: [] for p in _PARTS}
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -74,8 +84,9 @@ def _pack(key: np.ndarray, kind: int, doc: np.ndarray, tag: np.ndarray, place: n
         if hashes is not None:
             rows["hashes"].append(np.ascontiguousarray(hashes[lo:hi].view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes())
         else:
-            rows["ref_docs"].append(tk.planes(ref_doc[lo:hi]))
-            rows["shifts"].append(tk.planes((place[lo:hi] - ref_place[lo:hi]).astype(np.int32)))
+            rows["ref_docs"].append(tk.planes(ref[0][lo:hi]))
+            rows["ref_tags"].append(tk.planes(ref[1][lo:hi]))
+            rows["shifts"].append(tk.planes((place[lo:hi] - ref[2][lo:hi]).astype(np.int32)))
     n = len(cuts) - 1
     none = [None] * n
     return pa.RecordBatch.from_arrays(
@@ -83,9 +94,9 @@ def _pack(key: np.ndarray, kind: int, doc: np.ndarray, tag: np.ndarray, place: n
     )
 
 
-def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None]:
-    """doc, tag, place, hash, ref_doc, ref_place of all entries of packed rows of one kind."""
-    doc, tag, place, hashes, ref_doc, ref_place = [], [], [], [], [], []
+def _unpack(rows: list[dict]):
+    """doc, tag, place; hashes or None; (document, tag, place) of references or None, of all entries of packed rows of one kind."""
+    doc, tag, place, hashes, ref = [], [], [], [], ([], [], [])
     for r in rows:
         counts = tk.unplanes(r["counts"], np.uint32).astype(np.int64)
         n = len(counts)
@@ -97,10 +108,11 @@ def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             wide[:, :_HASH_BYTES] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, _HASH_BYTES)
             hashes.append(wide.view(tk.U64).ravel())
         else:
-            ref_doc.append(tk.unplanes(r["ref_docs"], np.int64))
-            ref_place.append(place[-1] - tk.unplanes(r["shifts"], np.int32))
-    join = lambda x: np.concatenate(x) if x else None
-    return join(doc), join(tag), join(place), join(hashes), join(ref_doc), join(ref_place)
+            ref[0].append(tk.unplanes(r["ref_docs"], np.int64))
+            ref[1].append(tk.unplanes(r["ref_tags"], np.uint32))
+            ref[2].append(place[-1] - tk.unplanes(r["shifts"], np.int32))
+    join = np.concatenate
+    return join(doc), join(tag), join(place), join(hashes) if hashes else None, tuple(map(join, ref)) if ref[0] else None
 
 
 def _target(doc: np.ndarray, n: int) -> np.ndarray:
@@ -130,40 +142,67 @@ def phrases(block: tk.Block, doc_id: np.ndarray, tag: np.ndarray, window: int, n
     key = (words.grams(window, _SEED_BLOCK)[at[sent]] % tk.U64(n_blocks)).astype(np.int64)
     by = np.lexsort((at[sent], key))
     sent = sent[by]
-    yield _pack(key[by], 0, doc[sent], tag[row[sent]], place[sent], hashes=hs[sent])
+    yield _pack(key[by], _PHRASE, doc[sent], tag[row[sent]], place[sent], hashes=hs[sent])
     met = np.flatnonzero(once & ~lead & (doc > least))
     if len(met):
-        key = _target(doc[met], n_targets)
+        key = _target(doc[ref[met]], n_targets)
         by = np.lexsort((at[met], key))
         met = met[by]
-        yield _pack(key[by], 1, doc[met], tag[row[met]], place[met], ref_doc=doc[ref[met]], ref_place=place[ref[met]])
+        yield _pack(key[by], _TOLD, doc[met], tag[row[met]], place[met], ref=(doc[ref[met]], tag[row[ref[met]]], place[ref[met]]))
 
 
 def look_up(rows: list[dict], n_targets: int):
-    """Places of one index block whose phrase starts in a document with a smaller id, packed by target."""
-    doc, tag, place, h, _, _ = _unpack(rows)
-    order = np.lexsort((place, doc, h))
+    """Places of one index block whose phrase starts in a document with a smaller id, packed by their document's target."""
+    doc, tag, place, h, _ = _unpack(rows)
+    order = np.lexsort((place, tag, doc, h))
     hs, doc, tag, place = h[order], doc[order], tag[order], place[order]
     head = np.concatenate([[True], hs[1:] != hs[:-1]])
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     met = np.flatnonzero(doc > doc[first])
-    key = _target(doc[met], n_targets)
-    by = np.lexsort((place[met], tag[met], doc[met], key))
-    met = met[by]
-    return _pack(key[by], 1, doc[met], tag[met], place[met], ref_doc=doc[first[met]], ref_place=place[first[met]])
+    return _by_target(doc[met], tag[met], place[met], (doc[first[met]], tag[first[met]], place[first[met]]), n_targets)
+
+
+def _by_target(doc, tag, place, ref, n_targets: int) -> pa.RecordBatch:
+    key = _target(doc, n_targets)
+    by = np.lexsort((place, tag, doc, key))
+    return _pack(key[by], _FOUND, doc[by], tag[by], place[by], ref=tuple(x[by] for x in ref))
+
+
+def _place_key(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return tk.mix(tk.mix(doc.view(tk.U64)) + tag.astype(tk.U64) * tk.constants(3019, 1) + place.astype(tk.U64) * tk.constants(3023, 1))
+
+
+def settle_told(told: list[dict], found: list[dict], n_targets: int) -> pa.RecordBatch:
+    """Reference places of told ones: that of the place they repeat, or this place itself where it is the reference."""
+    doc, tag, place, _, ref = _unpack(told)
+    if found:
+        d, t, p, _, to = _unpack(found)
+        key = _place_key(d, t, p)
+        order = np.argsort(key)
+        wanted = _place_key(*ref)
+        at = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
+        hit = key[order][at] == wanted
+        ref = tuple(np.where(hit, x[order][at], own) for x, own in zip(to, ref, strict=True))
+    return _by_target(doc, tag, place, ref, n_targets)
+
+
+def _runs_of(text: np.ndarray, place: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and lengths of maximal runs of places whose reference places follow one another."""
+    new = np.ones(len(place), bool)
+    new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1) | (ref_doc[1:] != ref_doc[:-1]) | (ref_place[1:] != ref_place[:-1] + 1)
+    heads = np.flatnonzero(new)
+    return heads, np.diff(np.append(heads, len(new)))
 
 
 def runs(rows: list[dict]) -> pa.RecordBatch:
-    """For each document of a target, maximal runs of phrases whose reference places follow one another."""
-    doc, tag, place, _, ref_doc, ref_place = _unpack(rows)
+    """For each document of a target, its known places in runs whose reference places follow one another."""
+    doc, tag, place, _, (ref_doc, _, ref_place) = _unpack(rows)
     order = np.lexsort((place, tag, doc))
     doc, tag, place, ref_doc, ref_place = (x[order] for x in (doc, tag, place, ref_doc, ref_place))
-    new_row = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-    new = new_row.copy()
-    new[1:] |= (place[1:] != place[:-1] + 1) | (ref_doc[1:] != ref_doc[:-1]) | (ref_place[1:] != ref_place[:-1] + 1)
-    heads = np.flatnonzero(new)
-    count = np.diff(np.append(heads, len(new)))
-    row_heads = np.flatnonzero(new_row)
+    row = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    heads, count = _runs_of(np.cumsum(row), place, ref_doc, ref_place)
+    row_heads = np.flatnonzero(row)
     offsets = np.append(np.searchsorted(heads, row_heads), len(heads))
     found = pa.StructArray.from_arrays([pa.array(place[heads], pa.int32()), pa.array(count, pa.int32()), pa.array(ref_doc[heads]), pa.array(ref_place[heads], pa.int32())], ["start", "count", "ref_doc", "ref_start"])
     return pa.RecordBatch.from_arrays([pa.array(doc[row_heads]), pa.array(tag[row_heads].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)], ["__tq_doc", "__tq_tag", "__tq_runs"])
@@ -191,18 +230,26 @@ def find_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield from phrases(block, doc[block.lo : block.hi], tag[block.lo : block.hi], window, n_blocks, n_targets)
 
     def settle(batches):
-        first = None
         gathered = []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"]:
-                    yield _rebatch(r)
-                else:
+                if r["kind"] == _PHRASE:
                     gathered.append(r)
-            first = first or batch
+                else:
+                    yield _rebatch(r)
         if gathered:
             yield look_up(gathered, n_targets)
 
+    def tell(batches):
+        told, found = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                (told if r["kind"] == _TOLD else found).append(r)
+                if r["kind"] != _TOLD:
+                    yield _rebatch(r)
+        if told:
+            yield settle_told(told, found, n_targets)
+
     def join_up(batches):
         gathered = [r for batch in batches for r in batch.to_pylist()]
         if gathered:
@@ -210,7 +257,8 @@ def find_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     sent = _tagged(docs.select("doc_id", "text")).select("__tq_doc", "__tq_tag", "text").mapInArrow(send, _PACKED)
     met = _by_key(sent, n_blocks, settle, _PACKED)
-    return _by_key(met, n_targets, join_up, f"__tq_doc long, __tq_tag long, __tq_runs {_RUNS}")
+    told = _by_key(met, n_targets, tell, _PACKED)
+    return _by_key(told, n_targets, join_up, f"__tq_doc long, __tq_tag long, __tq_runs {_RUNS}")
 
 
 def _rebatch(row: dict) -> pa.RecordBatch:
@@ -231,36 +279,58 @@ def _by_key(packed: DataFrame, n: int, work, schema: str) -> DataFrame:
     return packed.repartition(n, "key").groupBy("key").applyInArrow(grouped, schema)
 
 
-def factors(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """The greedy parse's factors (start, length, ref_doc, ref_start); a run that starts within a factor gives the next one its rest."""
-    out, upto = [], 0
-    for r in found:
-        end = r["start"] + r["count"] + window - 1
-        start = max(r["start"], upto)
-        if end > start:
-            out.append((start, end - start, r["ref_doc"], r["ref_start"] + start - r["start"]))
-            upto = end
-    return out
-
-
-def _removed(words: tk.Words, found, window: int) -> np.ndarray:
-    """Which words of a block lie in a duplicate span; ``found`` has each text's runs or None."""
-    starts, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, rs in enumerate(found):
-        if rs:
-            starts.append(np.array([r["start"] for r in rs], np.int64) + words.first[i])
-            counts.append(np.array([r["count"] for r in rs], np.int64))
-    starts, counts = np.concatenate(starts), np.concatenate(counts)
-    at = np.repeat(starts, counts) + tk.ragged(counts)
-    if not len(at):
-        return np.zeros(len(words.hash), bool)
-    # A task sends a phrase's first place in a text only; the same phrase counts at its other places too.
-    with np.errstate(over="ignore"):
-        key = words.grams(window, _SEED) ^ tk.mix(words.doc[: len(words.doc) - window + 1].astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15))
-    whole = words.whole(window)
-    hit = np.unique(key[at])
-    place = np.minimum(np.searchsorted(hit, key[whole]), len(hit) - 1)
-    return tk.covered(len(words.hash), whole[hit[place] == key[whole]], window)
+class Parse:
+    """The parse of a block's texts; ``found`` has each text's runs or None.
+
+    ``text``, ``start``, ``length``, ``ref_doc`` and ``ref_start`` describe the
+    factors, in words and in order; ``removed`` says which words lie in one or
+    in a known phrase across a factor's end.
+    """
+
+    def __init__(self, words: tk.Words, found, window: int):
+        at, ref_doc, ref_place = self._known(words, found, window)
+        seed = np.zeros(len(words.hash) + 1, bool)
+        seed[at] = True
+        heads, counts = _runs_of(words.doc[at], at, ref_doc, ref_place)
+        text, upto, rows = -1, 0, []
+        for i, start, count in zip(words.doc[at[heads]].tolist(), at[heads].tolist(), counts.tolist(), strict=True):
+            if i != text:
+                text, upto = i, 0
+            skipped = max(0, upto - start)
+            if skipped < count:
+                # The phrase at this place is known: the longest match runs to the end of the run's last phrase.
+                upto = start + count + window - 1
+                rows.append((start + skipped, upto))
+        spans = np.array(rows, np.int64).reshape(-1, 2)
+        begin, end = spans[:, 0], spans[:, 1]
+        here = np.searchsorted(at, begin)
+        self.text = words.doc[begin]
+        self.start, self.length = begin - words.first[self.text], end - begin
+        self.ref_doc, self.ref_start = ref_doc[here], ref_place[here]
+        # Known phrases across a factor's end.
+        across = (end[:, None] - np.arange(1, window)[None, :]).ravel()
+        across = across[seed[across]]
+        self.removed = tk.covered(len(words.hash), np.concatenate([begin, across]), np.concatenate([self.length, np.full(len(across), window)]))
+
+    @staticmethod
+    def _known(words: tk.Words, found, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All places of known phrases, ascending, and their reference places; ``found`` has a phrase's first place in a text only."""
+        none = np.zeros(0, np.int64)
+        rows = [(r["start"] + words.first[i], r["count"], r["ref_doc"], r["ref_start"]) for i, rs in enumerate(found) for r in rs or ()]
+        if not rows:
+            return none, none, none
+        start, count, ref_doc, ref_start = np.array(rows, np.int64).T
+        step = tk.ragged(count)
+        at, ref_doc, ref_place = np.repeat(start, count) + step, np.repeat(ref_doc, count), np.repeat(ref_start, count) + step
+        with np.errstate(over="ignore"):
+            key = words.grams(window, _SEED) ^ tk.mix(words.doc[: len(words.doc) - window + 1].astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15))
+        whole = words.whole(window)
+        order = np.argsort(key[at])
+        known = key[at][order]
+        place = np.minimum(np.searchsorted(known, key[whole]), len(known) - 1)
+        hit = known[place] == key[whole]
+        of = order[place[hit]]
+        return whole[hit], ref_doc[of], ref_place[of]
 
 
 def _with_runs(docs: DataFrame, window: int) -> DataFrame:
@@ -268,26 +338,29 @@ def _with_runs(docs: DataFrame, window: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_sha256, n_factors."""
+    """One row for each document: doc_id, n_words, n_removed, kept_sha256, factors (array of start, length, ref_doc, ref_start in words)."""
+    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())])
 
     def told(batches):
         for batch in batches:
             found = batch.column("__tq_runs").to_pylist()
             for block in tk.blocks(batch.column("text")):
                 words = tk.Words(block)
-                removed = _removed(words, found[block.lo : block.hi], window)
-                data, kept = block.data.tobytes(), np.flatnonzero(~removed)
+                parse = Parse(words, found[block.lo : block.hi], window)
+                data, kept = block.data.tobytes(), np.flatnonzero(~parse.removed)
                 bounds = np.searchsorted(kept, words.first)
                 starts, ends = words.starts[kept].tolist(), words.ends[kept].tolist()
                 digests = [hashlib.sha256(b" ".join([data[a:b] for a, b in zip(starts[lo:hi], ends[lo:hi], strict=True)])).hexdigest() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
                 n_kept = np.diff(bounds)
+                flat = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (parse.start, parse.length, parse.ref_doc, parse.ref_start)], fields=list(kind))
+                factors = pa.ListArray.from_arrays(pa.array(np.searchsorted(parse.text, np.arange(block.n + 1)), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.lo, block.n), pa.array(words.counts, pa.int64()), pa.array(words.counts - n_kept, pa.int64()), pa.array(digests, pa.string()), pa.array([len(factors(f or [], window)) for f in found[block.lo : block.hi]], pa.int64())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"],
+                    [batch.column("doc_id").slice(block.lo, block.n), pa.array(words.counts, pa.int64()), pa.array(words.counts - n_kept, pa.int64()), pa.array(digests, pa.string()), factors],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256", "factors"],
                 )
 
     rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window).select("doc_id", "text", "__tq_runs")
-    return rows.mapInArrow(told, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long")
+    return rows.mapInArrow(told, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:bigint,length:bigint,ref_doc:bigint,ref_start:bigint>>")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -306,7 +379,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             found = batch.column("__tq_runs").to_pylist()
             for block in tk.blocks(batch.column(at_text)):
                 words = tk.Words(block)
-                removed = _removed(words, found[block.lo : block.hi], window)
+                removed = Parse(words, found[block.lo : block.hi], window).removed
                 gone = np.concatenate([[0], np.cumsum(removed)])
                 n_gone = gone[words.first[1:]] - gone[words.first[:-1]]
                 texts = batch.column(at_text).slice(block.lo, block.n).to_pylist()
