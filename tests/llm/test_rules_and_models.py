@@ -57,18 +57,22 @@ def test_quality_on_an_empty_table_and_clashing_columns(spark):
     assert quality_rules.judge(docs).count() == 1
 
 
+def symbols(text):
+    return [quality_rules._lowered(ord(c)) if ord(c) < quality_rules.SYMBOLS else 0xE000 + ord(c) % 6400 for c in text]
+
+
 def plain_kneser_ney(texts):
-    """Modified Kneser-Ney costs by definition, over lists of symbols."""
+    """Modified Kneser-Ney probabilities by definition, over document counts and tuples of symbols."""
     order = quality_rules.ORDER
     counts = [Counter() for _ in range(order + 1)]
     for t in texts:
-        s = [quality_rules.SPACE] * (order - 1) + [quality_rules._TABLE[ord(c)] if ord(c) < 0x800 else quality_rules.OTHER_LETTER for c in t]
-        for i in range(order - 1, len(s)):
-            counts[order][tuple(int(x) for x in s[i - order + 1 : i + 1])] += 1
+        s = [quality_rules.SPACE] * (order - 1) + symbols(t)
+        for g in {tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s))}:
+            counts[order][g] += 1
     for n in range(order - 1, 0, -1):
         for g in counts[n + 1]:
             counts[n][g[1:]] += 1
-    cuts = [None] + [quality_rules.Model._discounts(np.array(list(c.values()))) for c in counts[1:]]
+    cuts = [None] + [[0, *quality_rules.discounts(Counter(c.values()))] for c in counts[1:]]
     followers = [None] + [defaultdict(list) for _ in range(order)]
     for n in range(1, order + 1):
         for g, c in counts[n].items():
@@ -77,27 +81,75 @@ def plain_kneser_ney(texts):
     def p(g):
         if not g:
             return 1 / quality_rules.SYMBOLS
-        n, known = len(g), followers[len(g)].get(g[:-1])
-        low = p(g[1:])
-        if not known:
-            return low
-        d = cuts[n]
-        c = counts[n].get(g, 0)
-        return (max(c - d[min(c, 3)], 0) if c else 0) / sum(known) + sum(min(d[min(x, 3)], x) for x in known) / sum(known) * low
-
-    return lambda g: -math.log(p(g))
-
-
-def test_language_model_against_definition_and_sums_to_one(spark):
-    texts = ["the cat sat on the mat. ", "Ein Käse, ein Brot; über 12 Wege!", "the then than that there", "日本 #1"]
-    model = quality_rules.train(frame(spark, [(i, t, "x", "s") for i, t in enumerate(texts)]))
-    cost = model.expanded()
-    assert np.allclose(np.exp(-cost.reshape(-1, quality_rules.SYMBOLS)).sum(axis=1), 1)
-    want = plain_kneser_ney(texts)
-    rng = np.random.default_rng(1)
-    for key in [*map(int, rng.integers(0, len(cost), 200)), *map(int, model.keys[-1])]:
-        g = tuple(key >> quality_rules.BITS * j & 31 for j in reversed(range(4)))
-        assert cost[key] == pytest.approx(want(g), rel=1e-6)
+        known, d, c = followers[len(g)][g[:-1]], cuts[len(g)], counts[len(g)][g]
+        return max(c - d[min(c, 3)], 0) / sum(known) + sum(min(d[min(x, 3)], x) for x in known) / sum(known) * p(g[1:])
+
+    return {g: p(g) for g in counts[order]}
+
+
+LM_TEXTS = ["the cat sat on the mat. ", "Ein Käse, ein Brot; über 12 Wege!", "THE then than that there", "日本 #1 日本 😀\n", "", None, "the cat sat", "x"]
+
+
+@pytest.mark.parametrize("unit_bytes", [40, quality_rules.UNIT_BYTES])
+def test_language_model_against_definition(spark, monkeypatch, unit_bytes):
+    monkeypatch.setattr(quality_rules, "UNIT_BYTES", unit_bytes)
+    monkeypatch.setattr(quality_rules, "LOOKUP_BYTES", 1 if unit_bytes == 40 else quality_rules.LOOKUP_BYTES)
+    blocks = textkit.blocks
+    monkeypatch.setattr(textkit, "blocks", lambda texts, limit=unit_bytes: blocks(texts, limit))
+    docs = frame(spark, [(i, t, "x", "s") for i, t in enumerate(LM_TEXTS)])
+    want = plain_kneser_ney([t or "" for t in LM_TEXTS])
+    units = quality_rules.write_units(docs.repartition(2))
+    got = {}
+    for r in quality_rules.probabilities(quality_rules.count_grams(units)).collect():
+        got[tuple(r.gram >> 16 * j & 0xFFFF for j in reversed(range(4)))] = r.p
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], rel=1e-9) for g in want)
+    by_context = defaultdict(float)
+    for g, p in got.items():
+        by_context[g[:-1]] += p
+    assert all(0 < p <= 1 + 1e-9 for p in by_context.values())
+    for r in quality_rules.measure(docs).collect():
+        s = [quality_rules.SPACE] * 3 + symbols(LM_TEXTS[r.doc_id] or "")
+        costs = [-math.log(want[tuple(s[i - 3 : i + 1])]) for i in range(3, len(s))]
+        assert r.n_chars == len(costs) and (r.log_perplexity is None) == (not costs)
+        assert not costs or r.log_perplexity == pytest.approx(sum(costs) / len(costs), rel=1e-5)
+
+
+def test_kept_against_bands_by_definition(spark):
+    """Verdicts of the whole query from its own log perplexities, medians and quartiles taken by sorting."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = frame(spark, [(-1, "one of its own " + " ".join(f"v{i}" for i in range(60)), "only", "s"), (-2, None, None, "s"), (-3, " ".join(f"q{i}" for i in range(70)), None, "s"), (-4, " ".join(f"q{i}" for i in range(70)), "", "s")])
+    got = quality_rules.verdicts(rows.union(odd)).collect()
+    by = defaultdict(list)
+    for r in got:
+        if not r.base_failed:
+            by[r.lang].append(r)
+    point = lambda x, q: sorted(x)[max(0, math.ceil(q * len(x)) - 1)]
+    assert None in by and "" in by
+    for own in by.values():
+        middle = point([r.log_perplexity for r in own], 0.5)
+        assert own[0].middle == pytest.approx(middle, abs=quality_rules.STEP)
+        each = [(r.log_perplexity - own[0].middle) / math.sqrt(1 / r.n_chars + 1 / quality_rules.SPREAD) for r in own]
+        reach = quality_rules.WIDTH * (1 + quality_rules.FEW / math.sqrt(len(own)))
+        a, b, c = (point(each, q) for q in (0.25, 0.5, 0.75))
+        low, high = b - reach * max(quality_rules.LEAST, b - a), b + reach * max(quality_rules.LEAST, c - b)
+        slack = 0.03 * max(1, high - low)
+        for r, z in zip(own, each, strict=True):
+            assert r.deviation == pytest.approx(z, abs=1e-6)
+            if min(abs(z - low), abs(z - high)) > slack:
+                assert r.kept == (low <= z <= high)
+    assert all(not r.kept for r in got if r.base_failed) and next(r for r in got if r.doc_id == -1).kept
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрстуфхцчшыьэюя", "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生"])
+def test_noise_in_other_scripts_is_rejected(spark, letters):
+    import random
+
+    rng = random.Random(12)
+    lexicon = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(150)]
+    clean = [(i, " ".join(rng.choice(lexicon) for _ in range(rng.randint(60, 300))) + ".", "xx", "s") for i in range(120)]
+    noise = [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(120)) + ".", "xx", "s") for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, clean + noise)).collect()}
+    assert not any(got[d] for d, *_ in noise) and sum(got[d] for d, *_ in clean) >= 118
 
 
 def test_bands_reject_noise_and_keep_clean_text(spark):
