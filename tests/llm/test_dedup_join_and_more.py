@@ -270,10 +270,10 @@ def brute_decontaminate(rows, items):
     win = defaultdict(set)
     for i, t in items:
         w = FOLDED.findall(fold(t))
-        if i is not None and w:
+        if w:
             n = min(13, len(w))
             for s in range(len(w) - n + 1):
-                win[tuple(w[s : s + n])].add(i)
+                win[tuple(w[s : s + n])].add(None if i is None else str(i))
     sizes, out = {len(g) for g in win}, []
     for d, t in rows:
         w, hit, met = FOLDED.findall(fold(t)), set(), set()
@@ -283,7 +283,7 @@ def brute_decontaminate(rows, items):
                 if len(g) == n and g in win:
                     hit.update(range(s, s + n))
                     met |= win[g]
-        out.append((d, len(w), len(hit), sorted(met)))
+        out.append((d, len(w), len(hit), sorted(met, key=lambda i: (i is None, i))))
     return sorted(out, key=repr)
 
 
@@ -305,6 +305,17 @@ def test_decontamination_against_brute_force(spark, block_words):
     assert all(r.n_hit == 0 for r in decontaminate.scan(docs, none).collect()) and decontaminate.scan(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_with_odd_ids_and_long_texts(spark):
+    rng = random.Random(16)
+    long_text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100000))
+    part = " ".join(long_text.split(" ")[70000:70020])
+    bench = frame(spark, [("a-1", part), (None, "lost words here"), (None, "other lost")], "item_id string, text string")
+    rows = [(1, long_text), (2, f"x {part} y"), (3, "so lost words here and other lost"), (4, None)]
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.scan(frame(spark, rows), bench).collect()}
+    assert got == {1: (100000, 20, ["a-1"]), 2: (22, 20, ["a-1"]), 3: (7, 5, [None]), 4: (0, 0, [])}
+    assert {r.doc_id for r in decontaminate.remove(frame(spark, rows), bench).collect()} == {1, 4}
+
+
 def brute_license(rows):
     base = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
     out = []
