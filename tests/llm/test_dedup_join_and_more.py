@@ -344,6 +344,44 @@ def test_license_scan_against_brute_force(spark):
     assert license_scan.scan(docs.where("false")).count() == 0
 
 
+def brute_matches(rows):
+    """Labels, places and scores by trying every template at every place."""
+    texts = [FOLDED.findall(fold(t)) for _, t in rows]
+    terms_of = [t[1].split() for t in license_scan.TEMPLATES]
+    idf = {w: 1 + np.log((len(rows) + 1) / (sum(w in set(x) for x in texts) + 1)) for terms in terms_of for w in terms}
+    out = {}
+    for (d, _), words in zip(rows, texts, strict=True):
+        found = []
+        for (label, _, key, base, least), terms in zip(license_scan.TEMPLATES, terms_of, strict=True):
+            phrase = key.split()
+            at = next(i for i in range(len(terms)) if terms[i : i + len(phrase)] == phrase)
+            rare = sorted(range(len(terms)), key=lambda i: (-idf[terms[i]], i))[: license_scan.RARE]
+            for p in range(len(words) - len(phrase) + 1):
+                if words[p : p + len(phrase)] == phrase:
+                    agree = lambda i: 0 <= p - at + i < len(words) and words[p - at + i] == terms[i]  # noqa: E731, B023
+                    near = sum(idf[terms[i]] for i in rare if agree(i)) / sum(idf[terms[i]] for i in rare)
+                    score = sum(idf[w] for i, w in enumerate(terms) if agree(i)) / sum(idf[w] for w in terms)
+                    if near >= least and score >= least:
+                        found.append((label, base, p, round(score, 9)))
+        out[d] = sorted(found)
+    return out
+
+
+def test_license_labels_and_scores_against_brute_force(spark):
+    rng = random.Random(17)
+    rows, whole = [], [t[1].split() for t in license_scan.TEMPLATES]
+    for i in range(80):
+        w = list(rng.choice(whole))
+        for _ in range(rng.choice([0, 2, len(w) // 3, len(w)])):
+            w[rng.randrange(len(w))] = rng.choice(["software", "license", "other", "the", "public"])
+        lead = [rng.choice(["the", "general", "public", "license", "cc", "by"]) for _ in range(rng.randint(0, 6))]
+        rows.append((i, " ".join([*lead, *w[rng.choice([0, 0, 3]) :], *rng.choice(whole)[:12]])))
+    rows += [(100 + t, " ".join(w)) for t, w in enumerate(whole)]
+    got = {r.doc_id: sorted((m.label, m.base, m.start, round(m.score, 9)) for m in r.matches) for r in license_scan.scan(frame(spark, rows)).collect()}
+    want = brute_matches(rows)
+    assert got == want and {m[0] for ms in want.values() for m in ms} == {t[0] for t in license_scan.TEMPLATES}
+
+
 def test_chat_formatting_round_trip_budget_and_masks(spark):
     rng = random.Random(8)
     rows = []
