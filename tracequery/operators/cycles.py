@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import InvalidRangeError
-from .steps import by_signal, neighbours
+from .steps import at_times, by_signal, neighbours
 
 
 def cycle_table(wave: DataFrame, edge: str = "rising", slice_ticks: int | None = None) -> DataFrame:
@@ -45,24 +45,9 @@ def cycle_ranges(cycles: DataFrame, first: int, last: int, end_time: DataFrame)
 
 
 def samples(wave: DataFrame, cycles: DataFrame, edges_per_slice: int = 1000) -> DataFrame:
-    """(clock_id, cycle, signal_id, value_raw) of every signal of ``wave`` at every edge of every clock of ``cycles``, null before the first change.
-
-    Pieces over which values hold meet the edges by time slice, so every
-    result row is made once and a long trace is worked on by many tasks.
-    """
+    """(clock_id, cycle, signal_id, value_raw) of every signal of ``wave`` at every edge of every clock of ``cycles``, null before the first change."""
     edges = cycles.select(F.col("signal_id").alias("clock_id"), "cycle", F.col("timestamp").alias("time"))
-    lim = edges.agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.ceil(F.count(F.lit(1)) / edges_per_slice).alias("n")).where("n > 0")
-    lim = lim.select("lo", "hi", (F.floor((F.col("hi") - F.col("lo")) / F.col("n")) + 1).alias("step"))
-    known = wave.where(F.col("value_raw").isNotNull())
-    held = neighbours(known).select("signal_id", F.col("timestamp").alias("t_start"), F.col("next_time").alias("t_end"), "value_raw")
-    before = wave.groupBy("signal_id").agg(F.min(F.when(F.col("value_raw").isNotNull(), F.col("timestamp"))).alias("t_end"))
-    before = before.select("signal_id", F.lit(None).cast("long").alias("t_start"), "t_end", F.lit(None).cast("string").alias("value_raw"))
-    first, last = F.greatest("t_start", "lo"), F.least(F.col("t_end") - 1, F.col("hi"))
-    slot = lambda t: F.floor((t - F.col("lo")) / F.col("step"))
-    pieces = held.unionByName(before).join(F.broadcast(lim)).withColumns({"t_first": first, "t_last": last}).where("t_first <= t_last")
-    pieces = pieces.select("signal_id", "value_raw", "t_first", "t_last", F.explode(F.sequence(slot(F.col("t_first")), slot(F.col("t_last")))).alias("slot"))
-    edges = edges.join(F.broadcast(lim)).select("clock_id", "cycle", "time", slot(F.col("time")).alias("slot"))
-    return edges.join(pieces, "slot").where("time between t_first and t_last").select("clock_id", "cycle", "signal_id", "value_raw")
+    return at_times(wave, wave, edges, edges_per_slice).drop("time")
 
 
 def sample(wave: DataFrame, cycles: DataFrame) -> DataFrame:

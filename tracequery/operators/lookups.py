@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import by_signal, check_range, moment, neighbours
+from .steps import by_signal, check_range, moment, neighbours, since
 
 
 def _inside(start: int, end: int) -> Column:
@@ -30,15 +30,14 @@ def query_range(wave: DataFrame, start: int, end: int) -> DataFrame:
     return before.select("signal_id", F.lit("initial").alias("kind"), "last.*").unionByName(changes)
 
 
-def probe(wave: DataFrame, start: int, end: int) -> DataFrame:
+def probe(wave: DataFrame, start: int, end: int, slice_ticks: int | None = None) -> DataFrame:
     """One row for each signal: initial and final value, change_count, transition_count, first and last change.
 
     ``change_count`` counts records, ``transition_count`` those that differ
     from the value before them.
     """
-    check_range(start, end)
     here = _inside(start, end)
-    known = wave.where(F.col("timestamp") <= end).withColumn("prev_value", F.lag("value_raw").over(by_signal()))
+    known = neighbours(since(wave, start, end), slice_ticks)
     return known.groupBy("signal_id").agg(
         F.max_by("value_raw", F.when(F.col("timestamp") < start, moment())).alias("initial_value"),
         F.max_by("value_raw", moment()).alias("final_value"),
@@ -74,7 +73,7 @@ def compare_points(wave: DataFrame, time_a: int, time_b: int) -> DataFrame:
     return both.withColumn("changed", ~F.col("value_a").eqNullSafe(F.col("value_b")))
 
 
-def find_event(wave: DataFrame, value: str, start: int, end: int, edge: str = "any", most: int | None = 20, parity: bool = False) -> DataFrame:
+def find_event(wave: DataFrame, value: str, start: int, end: int, edge: str = "any", most: int | None = 20, parity: bool = False, slice_ticks: int | None = None) -> DataFrame:
     """Changes to a value (any), changes into it (rising) or out of it (falling); the first ``most`` of each signal.
 
     With ``parity`` the first record of the range has no record before it, so a
@@ -85,8 +84,7 @@ def find_event(wave: DataFrame, value: str, start: int, end: int, edge: str = "a
     if edge == "any":
         found = here.where(F.col("value_raw") == value).withColumn("prev_value", F.lit(None).cast("string"))
     elif edge in ("rising", "falling"):
-        known = here if parity else wave.where(F.col("timestamp") <= end)
-        known = known.withColumn("prev_value", F.lag("value_raw").over(by_signal())).where(_inside(start, end))
+        known = neighbours(here if parity else since(wave, start, end), slice_ticks).where(_inside(start, end))
         if edge == "rising":
             found = known.where((F.col("value_raw") == value) & ~F.col("prev_value").eqNullSafe(F.lit(value)))
         else:
@@ -106,8 +104,7 @@ def find_stall(wave: DataFrame, start: int, end: int, min_duration: int = 1000,
     adds the time from ``start`` to the first change, where a value is held.
     """
     check_range(start, end)
-    known = wave.where(F.col("timestamp") <= end)
-    held = neighbours(known if include_lead else known.where(F.col("timestamp") >= start), slice_ticks)
+    held = neighbours(since(wave, start, end) if include_lead else wave.where(_inside(start, end)), slice_ticks)
     gaps = held.select(
         "signal_id",
         F.greatest("timestamp", F.lit(start)).alias("start_time"),

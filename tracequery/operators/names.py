@@ -45,7 +45,12 @@ def expand(signals: DataFrame, requested: list[str], most: int | None = None) ->
     met = names.join(F.broadcast(asked.where("pattern is not null")), F.expr("signal_name rlike pattern")).select("pos", "signal_name")
     plain = asked.where("pattern is null").select("pos", F.col("requested").alias("signal_name"))
     first = met.unionByName(plain).groupBy("signal_name").agg(F.min("pos").alias("pos"))
-    out = first.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("pos", "signal_name")) - 1).cast("long").alias("place"), "signal_name")
+    # Numbered within each entry of the list; the entries' counts, one row each, add up.
+    earlier = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sums = asked.select("pos").join(first.groupBy("pos").agg(F.count(F.lit(1)).alias("n")), "pos", "left")
+    sums = spark.createDataFrame(sums.collect(), "pos int, n long").select("pos", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("pos").orderBy("signal_name")) - 1)
+    out = numbered.join(F.broadcast(sums), "pos").select((F.col("base") + F.col("n")).cast("long").alias("place"), "signal_name")
     if most is not None:
         found = met.groupBy("pos").count().collect()
         for i, r, pattern in rows:

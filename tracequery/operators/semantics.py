@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import bit, handshake_kind, handshake_prefix, ratio
-from .steps import by_signal, check_range, joint_times, moment, segments, sweep
+from .steps import joint_times, moment, neighbours, segments, since, sweep
 
 
-def summary(wave: DataFrame, signals: DataFrame, start: int, end: int) -> DataFrame:
+def summary(wave: DataFrame, signals: DataFrame, start: int, end: int, slice_ticks: int | None = None) -> DataFrame:
     """One row for each signal id of ``signals``: edges, hold times, rate, values and whether it is stable.
 
     Edges need a bit on both sides, the value before ``start`` being the first
     one's.  Holds are the times from ``start`` to the first change, between
     changes, and from the last change to the end of the range.
     """
-    check_range(start, end)
     total = end - start + 1
     here = F.col("timestamp") >= start
-    known = wave.where(F.col("timestamp") <= end).withColumns({"__pv": F.lag("value_raw").over(by_signal()), "__pt": F.lag("timestamp").over(by_signal())})
-    now, before = bit(F.col("value_raw")), bit(F.col("__pv"))
-    gap = F.when(here, F.col("timestamp") - F.greatest(F.coalesce("__pt", F.lit(start)), F.lit(start)))
+    known = neighbours(since(wave, start, end), slice_ticks)
+    now, before = bit(F.col("value_raw")), bit(F.col("prev_value"))
+    gap = F.when(here, F.col("timestamp") - F.greatest(F.coalesce("prev_time", F.lit(start)), F.lit(start)))
     sums = known.groupBy("signal_id").agg(
         F.count_if(here).alias("change_count"),
         F.count_if(here & (before == 0) & (now == 1)).alias("rising"),
@@ -48,14 +47,23 @@ def summary(wave: DataFrame, signals: DataFrame, start: int, end: int) -> DataFr
     )
 
 
+def partial(summaries: DataFrame, most: int) -> DataFrame:
+    """Summaries as of the first ``most`` changes only: where there are more, edges and holds are null and ``analysis_partial`` is true."""
+    whole = F.col("change_count") <= most
+    cut = {c: F.when(whole, F.col(c)) for c in ("rising", "falling", "hold_min", "hold_max", "hold_avg")}
+    return summaries.withColumns({**cut, "analysis_partial": ~whole})
+
+
 def describe(summaries: DataFrame, names: DataFrame) -> DataFrame:
-    """(signal_id, signal_name, description) in words."""
+    """(signal_id, signal_name, description) in words; of partial summaries it says so."""
     n, name = F.col("change_count"), F.col("signal_name")
     text = (
         F.when(n == 0, F.concat(F.lit("Signal "), name, F.lit(" remained constant at "), F.coalesce("initial_value", F.lit("None")), F.lit(".")))
         .when(n > 50, F.concat(F.lit("Signal "), name, F.lit(" toggled heavily ("), n.cast("string"), F.lit(" changes).")))
         .otherwise(F.concat(F.lit("Signal "), name, F.lit(" changed "), n.cast("string"), F.lit(" times.")))
     )
+    if "analysis_partial" in summaries.columns:
+        text = F.concat(text, F.when(F.col("analysis_partial"), F.lit(" Sample truncated.")).otherwise(F.lit("")))
     return summaries.join(names.select("signal_id", "signal_name"), "signal_id").select("signal_id", "signal_name", text.alias("description"))
 
 
@@ -67,9 +75,9 @@ def handshake_pairs(names: DataFrame) -> DataFrame:
     return both.where("a_id is not null and b_id is not null")
 
 
-def handshake(wave: DataFrame, names: DataFrame, start: int, end: int) -> DataFrame:
+def handshake(wave: DataFrame, names: DataFrame, start: int, end: int, slice_ticks: int | None = None) -> DataFrame:
     """Joint times of every valid/ready pair and their shares of the range."""
-    t = joint_times(wave, handshake_pairs(names), start, end)
+    t = joint_times(wave, handshake_pairs(names), start, end, slice_ticks)
     part = lambda c, name: ratio(F.col(c), F.col("total_time")).alias(name)
     return t.select(
         F.col("pair").alias("prefix"), "both_high", F.col("a_only").alias("valid_only"), F.col("b_only").alias("ready_only"), "both_low", "unknown", "total_time",
@@ -77,11 +85,13 @@ def handshake(wave: DataFrame, names: DataFrame, start: int, end: int) -> DataFr
     )
 
 
-def coactivity(wave: DataFrame, chosen: DataFrame, start: int, end: int) -> DataFrame:
-    """Joint times of every two of the chosen signals (pos, signal_id); choose few, the pairs are all of them."""
+def coactivity(wave: DataFrame, chosen: DataFrame, start: int, end: int, slice_ticks: int | None = None, most: int = 64) -> DataFrame:
+    """Joint times of every two of the chosen signals (pos, signal_id), which are ``most`` at most."""
+    if chosen.limit(most + 1).count() > most:
+        raise ValueError(f"co-activity is of {most} signals at most")
     a, b = chosen.select(F.col("pos").alias("a_pos"), F.col("signal_id").alias("a_id")), chosen.select(F.col("pos").alias("b_pos"), F.col("signal_id").alias("b_id"))
     pairs = a.join(F.broadcast(b), F.col("a_pos") < F.col("b_pos")).select(F.concat_ws("/", "a_pos", "b_pos").alias("pair"), "a_id", "b_id")
-    t = joint_times(wave, pairs, start, end)
+    t = joint_times(wave, pairs, start, end, slice_ticks)
     same = ratio(F.col("both_high") + F.col("both_low"), F.col("total_time")).alias("same_state_ratio")
     return t.select("a_id", "b_id", "both_high", "both_low", "a_only", "b_only", "unknown", same)
 
@@ -103,19 +113,19 @@ def duty(wave: DataFrame, signals: DataFrame, start: int, end: int, slice_ticks:
     return out.select("signal_id", high.alias("high_time"), low.alias("low_time"), (F.lit(total) - high - low).alias("unknown_time"), ratio(high, F.lit(total)).alias("activity_ratio"))
 
 
-def high_intervals(wave: DataFrame, start: int, end: int, to_bit=bit) -> DataFrame:
+def high_intervals(wave: DataFrame, start: int, end: int, to_bit=bit, slice_ticks: int | None = None) -> DataFrame:
     """(signal_id, t_start, t_end) where the bit is 1; records of the same value stay apart."""
-    return segments(wave, start, end).where(to_bit(F.col("value_raw")) == 1).select("signal_id", "t_start", "t_end")
+    return segments(wave, start, end, slice_ticks).where(to_bit(F.col("value_raw")) == 1).select("signal_id", "t_start", "t_end")
 
 
-def low_intervals(wave: DataFrame, start: int, end: int) -> DataFrame:
+def low_intervals(wave: DataFrame, start: int, end: int, slice_ticks: int | None = None) -> DataFrame:
     """The same where the bit is 0: idle gaps of a busy signal."""
-    return segments(wave, start, end).where(bit(F.col("value_raw")) == 0).select("signal_id", "t_start", "t_end")
+    return segments(wave, start, end, slice_ticks).where(bit(F.col("value_raw")) == 0).select("signal_id", "t_start", "t_end")
 
 
-def both_high_intervals(wave: DataFrame, pairs: DataFrame, start: int, end: int, to_bit=bit) -> DataFrame:
+def both_high_intervals(wave: DataFrame, pairs: DataFrame, start: int, end: int, to_bit=bit, slice_ticks: int | None = None) -> DataFrame:
     """(pair, t_start, t_end) where both signals of a pair are 1."""
-    return sweep(wave, pairs, start, end, to_bit).where("a_bit = 1 and b_bit = 1").select("pair", "t_start", "t_end")
+    return sweep(wave, pairs, start, end, to_bit, slice_ticks).where("a_bit = 1 and b_bit = 1").select("pair", "t_start", "t_end")
 
 
 def interval_summary(keys: DataFrame, intervals: DataFrame, key: str) -> DataFrame:

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import first_bit
-from .semantics import both_high_intervals, high_intervals, interval_summary
+from .semantics import interval_summary
+from .steps import neighbours, sweep
+
+_GAPS = {"command to busy": "b0 - c0", "busy to response": "r1 - b1", "busy span": "b1 - b0 + 1"}
+
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
 
-def _clip(intervals: DataFrame, windows: DataFrame, first: str, last: str) -> DataFrame:
-    """Intervals cut to each trace's window, ends inclusive."""
-    w = windows.select("trace", F.col(first).alias("w0"), F.col(last).alias("w1")).where("w0 is not null and w1 is not null")
-    met = intervals.join(F.broadcast(w), "trace").where((F.col("t_start") <= F.col("w1")) & (F.col("t_end") > F.col("w0")))
-    return met.select("trace", F.greatest("t_start", "w0").alias("t_start"), F.least("t_end", F.col("w1") + 1).alias("t_end"))
 
+def _intervals(traces: dict[str, tuple[DataFrame, DataFrame]], busy: str, handshakes: dict[str, tuple[str, str]], slice_ticks: int | None) -> DataFrame:
+    """(trace, metric, t_start, t_end) where the busy signal, or both signals of a handshake, are 1; all traces in one pass."""
+    wanted = sorted({busy, *(n for names in handshakes.values() for n in names)})
+    key = lambda label: F.concat(F.lit(f"{label}/"), F.col("signal_id").cast("string")).alias("signal_id")
+    waves = _union([wave.select(F.lit(t).alias("trace"), "timestamp", "seq", key(t), "value_raw") for t, (wave, _) in traces.items()])
+    names = _union([signals.where(F.col("signal_name").isin(wanted)).select(F.lit(t).alias("trace"), key(t), "signal_name") for t, (_, signals) in traces.items()]).distinct()
+    spark = waves.sparkSession
+    ends = waves.groupBy("trace").agg((F.max("timestamp") + 1).alias("trace_end"))
+    ids = lambda c: names.select("trace", F.col("signal_name").alias(c), F.col("signal_id").alias(f"{c}_id"))
+    asked = spark.createDataFrame([(m, *vr) for m, vr in handshakes.items()], "metric string, a string, b string")
+    pairs = asked.join(ids("a"), "a").join(ids("b"), ["trace", "b"]).select("trace", "metric", F.concat_ws("/", "trace", "metric").alias("pair"), "a_id", "b_id")
+    # Names asked for, in each trace.
+    own = waves.join(F.broadcast(names.select("signal_id", "signal_name")), "signal_id")
+    alone = neighbours(own.where(F.col("signal_name") == busy)).where(first_bit(F.col("value_raw")) == 1)
+    alone = alone.select("trace", F.lit("busy").alias("metric"), F.col("timestamp").alias("t_start"), F.col("next_time").alias("t_end"))
+    both = sweep(own.drop("trace", "signal_name"), pairs, None, None, first_bit, slice_ticks).where("a_bit = 1 and b_bit = 1")
+    both = both.join(F.broadcast(pairs.select("pair", "trace", "metric")), "pair").select("trace", "metric", "t_start", "t_end")
+    held = alone.unionByName(both).join(F.broadcast(ends), "trace")
+    return held.select("trace", "metric", "t_start", F.coalesce("t_end", "trace_end").alias("t_end")).where("t_end > t_start")
 
-def metrics(traces: dict[str, tuple[DataFrame, DataFrame]], busy: str, handshakes: dict[str, tuple[str, str]], command: str, response: str) -> DataFrame:
+
+def metrics(traces: dict[str, tuple[DataFrame, DataFrame]], busy: str, handshakes: dict[str, tuple[str, str]], command: str, response: str, slice_ticks: int | None = None) -> DataFrame:
     """(trace, metric, n, total, first, last, longest, average): interval summaries of each trace.
 
     ``traces`` maps a label to (wave, signals).  Metrics are the busy signal,
@@ -24,38 +47,25 @@ def metrics(traces: dict[str, tuple[DataFrame, DataFrame]], busy: str, handshake
     time inside the command window, and the gaps (in ``total``) from the first
     command to busy, from busy to the last response, and the busy span.
     """
-    rows = []
-    for label, (wave, signals) in traces.items():
-        names = signals.select("signal_id", "signal_name")
-        lo, hi = wave.agg(F.min("timestamp"), F.max("timestamp")).first()
-        mark = lambda df, metric, label=label: df.select(F.lit(label).alias("trace"), F.lit(metric).alias("metric"), "t_start", "t_end")
-        own = wave.join(F.broadcast(names.where(F.col("signal_name") == busy)), "signal_id", "left_semi")
-        rows.append(mark(high_intervals(own, lo, hi, first_bit), "busy"))
-        wanted = [(k, v, r) for k, (v, r) in handshakes.items()]
-        asked = wave.sparkSession.createDataFrame(wanted, "pair string, v string, r string")
-        ids = names.select(F.col("signal_name"), "signal_id")
-        pairs = asked.join(ids.toDF("v", "a_id"), "v").join(ids.toDF("r", "b_id"), "r").select("pair", "a_id", "b_id")
-        met = both_high_intervals(wave, pairs, lo, hi, first_bit)
-        rows.append(met.select(F.lit(label).alias("trace"), F.col("pair").alias("metric"), "t_start", "t_end"))
-    intervals = rows[0]
-    for r in rows[1:]:
-        intervals = intervals.unionByName(r)
+    intervals = _intervals(traces, busy, handshakes, slice_ticks)
     spark = intervals.sparkSession
-    keys = spark.createDataFrame([(t, m, f"{t}/{m}") for t in traces for m in ["busy", *handshakes]], "trace string, metric string, key string")
-    summed = interval_summary(keys, intervals.withColumn("key", F.concat_ws("/", "trace", "metric")), "key").join(F.broadcast(keys), "key").drop("key")
+    named = lambda df: df.withColumn("key", F.concat_ws("/", "trace", "metric"))
+
+    def summed(found: DataFrame, wanted: list[str]) -> DataFrame:
+        keys = named(spark.createDataFrame([(t, m) for t in traces for m in wanted], "trace string, metric string"))
+        return interval_summary(keys, named(found), "key").join(F.broadcast(keys), "key").drop("key")
+
+    whole = summed(intervals, ["busy", *handshakes])
     at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    windows = summed.groupBy("trace").agg(at("busy", "first").alias("b0"), at("busy", "last").alias("b1"), at(command, "first").alias("c0"), at(command, "last").alias("c1"), at(response, "last").alias("r1"))
-    labels = keys.select("trace").distinct()
-    parts = [summed]
-    for m in handshakes:
-        inside = _clip(intervals.where(F.col("metric") == m), windows, "b0", "b1")
-        parts.append(interval_summary(labels, inside, "trace").withColumn("metric", F.lit(f"{m} in busy window")))
-    inside = _clip(intervals.where("metric = 'busy'"), windows, "c0", "c1")
-    parts.append(interval_summary(labels, inside, "trace").withColumn("metric", F.lit("busy in command window")))
-    for name, gap in (("command to busy", "b0 - c0"), ("busy to response", "r1 - b1"), ("busy span", "b1 - b0 + 1")):
-        none = F.lit(None).cast("long")
-        parts.append(windows.select("trace", F.lit(name).alias("metric"), F.lit(0).cast("long").alias("n"), F.expr(gap).alias("total"), none.alias("first"), none.alias("last"), none.alias("longest"), F.lit(None).cast("double").alias("average")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("trace", "metric", "n", "total", "first", "last", "longest", "average")
+    windows = whole.groupBy("trace").agg(at("busy", "first").alias("b0"), at("busy", "last").alias("b1"), at(command, "first").alias("c0"), at(command, "last").alias("c1"), at(response, "last").alias("r1"))
+    # Handshakes are cut to the busy window and busy times to the command window, ends inclusive.
+    is_busy = F.col("metric") == "busy"
+    w0, w1 = F.when(is_busy, F.col("c0")).otherwise(F.col("b0")), F.when(is_busy, F.col("c1")).otherwise(F.col("b1"))
+    inside = intervals.join(F.broadcast(windows), "trace").where((F.col("t_start") <= w1) & (F.col("t_end") > w0))
+    name = F.when(is_busy, F.lit("busy in command window")).otherwise(F.concat("metric", F.lit(" in busy window")))
+    inside = inside.select("trace", name.alias("metric"), F.greatest("t_start", w0).alias("t_start"), F.least("t_end", w1 + 1).alias("t_end"))
+    cut = summed(inside, [*(f"{m} in busy window" for m in handshakes), "busy in command window"])
+    gaps = windows.select("trace", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(gap).alias("total")) for m, gap in _GAPS.items()))).alias("g")).select("trace", "g.*")
+    none = F.lit(None).cast("long")
+    gaps = gaps.select("trace", "metric", F.lit(0).cast("long").alias("n"), "total", none.alias("first"), none.alias("last"), none.alias("longest"), F.lit(None).cast("double").alias("average"))
+    return _union([whole, cut, gaps]).select("trace", "metric", "n", "total", "first", "last", "longest", "average")

@@ -364,7 +364,7 @@ def handshake(spark, sf_dir):
 z AS (SELECT 1)
 SELECT a_id, b_id, both_high, both_low, a_only, b_only, {_SPAN} - both_high - both_low - a_only - b_only AS unknown, round(CAST(both_high + both_low AS DOUBLE) / {_SPAN}, 9) AS same_state_ratio FROM pr JOIN js USING (pair)""")
 def coactivity(spark, sf_dir):
-    return semantics.coactivity(_wave(spark, sf_dir), spark.range(8).select(F.col("id").alias("pos"), F.col("id").alias("signal_id")), START, END)
+    return semantics.coactivity(_wave(spark, sf_dir), spark.range(8).select(F.col("id").alias("pos"), F.col("id").alias("signal_id")), START, END, SLICE)
 
 
 @_query("handshake_names", """
@@ -472,16 +472,13 @@ def probe_cycles(spark, sf_dir):
 
 
 @_query("cycle_samples", _TRACE + _EDGES.format(1) + """
-q AS (SELECT cycle, timestamp AS time FROM e WHERE signal_id = 3 AND cycle < 50)
-SELECT s.signal_id, cycle, (SELECT arg_max(value_raw, (timestamp, seq)) FROM w WHERE w.signal_id = s.signal_id AND w.timestamp <= time) AS value_raw FROM s, q WHERE s.signal_id < 3""")
+marks AS (
+  SELECT signal_id, timestamp AS time, 0 AS mark, seq, value_raw, CAST(NULL AS BIGINT) AS clock_id, CAST(NULL AS BIGINT) AS cycle FROM w
+  UNION ALL SELECT s.signal_id, e.timestamp, 1, 0, NULL, e.signal_id, e.cycle FROM e, (SELECT DISTINCT signal_id FROM w) s),
+q AS (SELECT *, last_value(value_raw IGNORE NULLS) OVER (PARTITION BY signal_id ORDER BY time, mark, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM marks)
+SELECT clock_id, cycle, signal_id, held AS value_raw FROM q WHERE mark = 1""")
 def cycle_samples(spark, sf_dir):
-    clock = cycles.cycle_table(_wave(spark, sf_dir).where("signal_id = 3")).where("cycle < 50")
-    return cycles.sample(_wave(spark, sf_dir).where("signal_id < 3"), clock)
-
-
-@_query("cycle_samples_all")
-def cycle_samples_all(spark, sf_dir):
-    """Every signal at every cycle of every clock; SQL that looks each value up is quadratic, so tests hold it against brute force."""
+    """Every signal at every cycle of every clock."""
     return cycles.samples(_wave(spark, sf_dir), cycles.cycle_table(_clocks(spark, sf_dir), slice_ticks=SLICE))
 
 
