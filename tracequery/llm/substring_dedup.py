@@ -85,7 +85,8 @@ def _pack(key: np.ndarray, kind: int, doc: np.ndarray, tag: np.ndarray, place: n
             rows["hashes"].append(np.ascontiguousarray(hashes[lo:hi].view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes())
         else:
             rows["ref_docs"].append(tk.planes(ref[0][lo:hi]))
-            rows["ref_tags"].append(tk.planes(ref[1][lo:hi]))
+            # Only told places are looked up by the row they repeat.
+            rows["ref_tags"].append(tk.planes(ref[1][lo:hi]) if kind == _TOLD else b"")
             rows["shifts"].append(tk.planes((place[lo:hi] - ref[2][lo:hi]).astype(np.int32)))
     n = len(cuts) - 1
     none = [None] * n
@@ -109,10 +110,11 @@ def _unpack(rows: list[dict]):
             hashes.append(wide.view(tk.U64).ravel())
         else:
             ref[0].append(tk.unplanes(r["ref_docs"], np.int64))
-            ref[1].append(tk.unplanes(r["ref_tags"], np.uint32))
+            if r["kind"] == _TOLD:
+                ref[1].append(tk.unplanes(r["ref_tags"], np.uint32))
             ref[2].append(place[-1] - tk.unplanes(r["shifts"], np.int32))
     join = np.concatenate
-    return join(doc), join(tag), join(place), join(hashes) if hashes else None, tuple(map(join, ref)) if ref[0] else None
+    return join(doc), join(tag), join(place), join(hashes) if hashes else None, tuple(join(x) if x else None for x in ref) if ref[0] else None
 
 
 def _target(doc: np.ndarray, n: int) -> np.ndarray:
@@ -159,13 +161,13 @@ def look_up(rows: list[dict], n_targets: int):
     head = np.concatenate([[True], hs[1:] != hs[:-1]])
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     met = np.flatnonzero(doc > doc[first])
-    return _by_target(doc[met], tag[met], place[met], (doc[first[met]], tag[first[met]], place[first[met]]), n_targets)
+    return _by_target(doc[met], tag[met], place[met], doc[first[met]], place[first[met]], n_targets)
 
 
-def _by_target(doc, tag, place, ref, n_targets: int) -> pa.RecordBatch:
+def _by_target(doc, tag, place, ref_doc, ref_place, n_targets: int) -> pa.RecordBatch:
     key = _target(doc, n_targets)
     by = np.lexsort((place, tag, doc, key))
-    return _pack(key[by], _FOUND, doc[by], tag[by], place[by], ref=tuple(x[by] for x in ref))
+    return _pack(key[by], _FOUND, doc[by], tag[by], place[by], ref=(ref_doc[by], None, ref_place[by]))
 
 
 def _place_key(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -175,16 +177,16 @@ def _place_key(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> np.ndarra
 
 def settle_told(told: list[dict], found: list[dict], n_targets: int) -> pa.RecordBatch:
     """Reference places of told ones: that of the place they repeat, or this place itself where it is the reference."""
-    doc, tag, place, _, ref = _unpack(told)
+    doc, tag, place, _, (ref_doc, ref_tag, ref_place) = _unpack(told)
     if found:
-        d, t, p, _, to = _unpack(found)
+        d, t, p, _, (to_doc, _, to_place) = _unpack(found)
         key = _place_key(d, t, p)
         order = np.argsort(key)
-        wanted = _place_key(*ref)
+        wanted = _place_key(ref_doc, ref_tag, ref_place)
         at = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
         hit = key[order][at] == wanted
-        ref = tuple(np.where(hit, x[order][at], own) for x, own in zip(to, ref, strict=True))
-    return _by_target(doc, tag, place, ref, n_targets)
+        ref_doc, ref_place = np.where(hit, to_doc[order][at], ref_doc), np.where(hit, to_place[order][at], ref_place)
+    return _by_target(doc, tag, place, ref_doc, ref_place, n_targets)
 
 
 def _runs_of(text: np.ndarray, place: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
