@@ -140,7 +140,7 @@ def fixed_rules(block: tk.Block) -> dict[str, np.ndarray]:
 
 def _write_rows(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
