@@ -269,6 +269,30 @@ def test_plans_have_one_scan_no_python_and_partitioned_windows(spark, tmp_path,
     for df in (lookups.probe(w, 5, 9), steps.segments(w, 5, 9), semantics.summary(w, make_names(["a"]), 5, 9), lookups.find_event(w, "1", 5, 9, "rising")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 2 and "Python" not in plan and "SinglePartition" not in plan
-        assert "LessThan(timestamp,5)]" in plan and "GreaterThanOrEqual(timestamp,5), LessThanOrEqual(timestamp,9)]" in plan
+        assert "LessThan(timestamp,5)" in plan and "GreaterThanOrEqual(timestamp,5), LessThanOrEqual(timestamp,9)" in plan
         assert "partial_max_by" in plan
     assert "PushedFilters: [IsNotNull(timestamp), LessThanOrEqual(timestamp,9)]" in lookups.compare_points(w, 3, 9)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partial_summaries_say_so(make_wave, make_names):
+    w, names = make_wave(SIMPLE), make_names(["clk", "data"])
+    got = semantics.partial(semantics.summary(w, names, 0, 20), 2)
+    by = {r.signal_id: r for r in got.collect()}
+    assert by[0].analysis_partial and by[0].rising is None and by[0].hold_avg is None and by[0].change_count == 5
+    assert not by[1].analysis_partial and by[1].hold_min is not None
+    said = {r.signal_id: r.description for r in semantics.describe(got, names).collect()}
+    assert said[0].endswith("Sample truncated.") and not said[1].endswith("truncated.")
+
+
+def test_coactivity_is_of_few_signals(spark, make_wave):
+    with pytest.raises(ValueError):
+        semantics.coactivity(make_wave(SIMPLE), spark.range(5).selectExpr("id as pos", "id as signal_id"), 0, 9, most=4)
+
+
+def test_traces_are_compared_in_few_scans(spark, tmp_path, make_wave, make_names):
+    path = str(tmp_path / "w")
+    make_wave(SIMPLE).write.parquet(path)
+    w, names = spark.read.parquet(path), make_names(["clk", "data"])
+    plan = traces.metrics({"a": (w, names), "b": (w, names)}, "clk", {"h": ("clk", "data")}, "h", "h")._jdf.queryExecution().executedPlan().toString()
+    # Two for each trace and use: its changes and its end; the adaptive plan shares equal ones when it runs.
+    assert plan.count("FileScan") <= 40 and "CartesianProduct" not in plan

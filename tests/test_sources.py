@@ -1,8 +1,10 @@
 """The VCD source, ingestion, catalog, façade, command line and live stalls."""
 
 import json
+import socket
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracequery import cli
 from tracequery.api import Engine
@@ -155,6 +157,94 @@ def test_a_changed_file_is_read_again(spark, tmp_path):
     assert e.load(path)["end_time"] == 30
 
 
+def test_names_are_looked_up_anew_after_a_reload(spark, tmp_path):
+    path = write(tmp_path, MULTI)
+    engine = Engine(spark, str(tmp_path / "cache"))
+    engine.load(path)
+    assert len(engine.query("clk", 0, 20)["changes"]) == 5
+    swapped = MULTI.replace('$var wire 1 ! clk $end\n$var wire 8 " data $end', '$var wire 8 " data $end\n$var wire 1 ! clk $end  ')
+    write(tmp_path, swapped)
+    engine.load(path)
+    got = engine.query("clk", 0, 20)
+    assert got["resolved_signal"] == "top.clk" and [v for _, v in got["changes"]] == ["0", "1", "0", "1", "0"]
+
+
+def test_limits_errors_and_totals(spark, tmp_path):
+    engine = Engine(spark)
+    engine.load(write(tmp_path, MULTI))
+    # Without a folder the cache lies beside the recording.
+    assert (tmp_path / ".tracequery").is_dir()
+    got = engine.query("clk", 1, 20, max_changes=2)
+    assert got["initial_value"] == "0" and got["changes"] == [(5, "1"), (10, "0")] and got["truncated"] and got["total_changes"] == 4
+    got = engine.query("clk", 1, 20, max_changes=4)
+    assert len(got["changes"]) == 4 and "truncated" not in got
+    got = engine.compare_points(["clk", "nix_nix", "data"], 5, 10)
+    assert [r.get("resolved") for r in got["comparisons"]] == ["top.clk", "top.data", None] and got["changed_count"] == 2 and "nix_nix" in got["comparisons"][2]["error"]
+    assert engine.find_stall("data", 1, max_results=1)["total_found"] == 2 and engine.last_activity(limit=1)["total_checked"] == 2
+
+
+def test_deadlock_answers_say_what_was_looked_at(spark, tmp_path):
+    text = "$scope module m $end\n$var wire 1 a io_valid $end\n$var wire 1 b io_ready $end\n$var wire 1 c io_busy $end\n$var wire 1 d other $end\n$upscope $end\n$enddefinitions $end\n#0\n1a\n0b\n0c\n1d\n"
+    engine = Engine(spark, str(tmp_path / "cache"))
+    engine.load(write(tmp_path, text))
+    got = engine.find_deadlock(0)
+    assert got["total_signals_checked"] == 3 and got["potential_deadlocks"] == 1 and got["note"]
+    (one,) = got["candidates"]
+    assert one["module"] == "m" and one["signals"] == {"io_valid": "1", "io_ready": "0", "io_busy": "0"}
+
+
+def test_comments_may_hold_the_end_of_the_header(spark, tmp_path):
+    text = MULTI.replace("$scope module top $end", "$comment not yet: $enddefinitions $end\n$scope module top $end")
+    assert wave(spark, write(tmp_path, text)) == wave(spark, write(tmp_path, MULTI, "u.vcd"))
+    long = MULTI.replace("$scope module top $end", f"$comment {'x ' * (1 << 20)} $end\n$scope module top $end")
+    assert wave(spark, write(tmp_path, long, "v.vcd"), 3) == wave(spark, str(tmp_path / "u.vcd"))
+    assert vcd.parse_header(b"$comment $enddefinitions $") is None
+
+
+def test_reals_and_odd_codes(spark, tmp_path):
+    head = "$var real 64 r1 a $end\n$var wire 1 xy b $end\n$var wire 1 y c $end\n$enddefinitions $end\n#1\n"
+    got = wave(spark, write(tmp_path, head + "r1.5e3 r1\nr-inf r1\nrnan r1\nr1x r1\nr .5 r1\nb101xy\n"))
+    reals = [r[5] for r in got if r[1] == 0]
+    assert reals[:2] == [1500.0, float("-inf")] and reals[4] == 0.5 and all(v is None or v != v for v in reals[2:4])
+    assert [(r[1], r[2]) for r in got if r[1] != 0] == [(1, "101")]
+
+
+def test_ranges_by_signal_hold_the_same_changes(spark, tmp_path):
+    path = write(tmp_path, MULTI)
+    vcd.register(spark)
+    read = spark.read.format("vcd").option("path", path).option("shards", 2)
+    a, b = read.load(), read.option("by_signal", True).load()
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    from itertools import groupby
+
+    parts = [list(g) for _, g in groupby(b.withColumn("p", F.spark_partition_id()).collect(), key=lambda r: r.p)]
+    assert len(parts) == 2 and all([(r.signal_id, r.seq) for r in p] == sorted((r.signal_id, r.seq) for r in p) for p in parts)
+
+
+def test_http_client(spark, tmp_path):
+    from tracequery import surfaces
+
+    path, engine = write(tmp_path, MULTI), Engine(spark, str(tmp_path / "cache"))
+    with socket.socket() as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    client = surfaces.Client(f"http://127.0.0.1:{port}", lambda: engine)
+    try:
+        assert client.ensure_loaded(path)["signal_count"] == 2 and client.call("load", file_path=path)["loaded_file"] == path
+        assert {"top.clk", "top.data"} <= set(client.signals(limit=10)["signals"])
+        assert len(client.query(signal="top.clk", start=0, end=20)["changes"]) >= 4
+        assert client.analyze(signal="top.clk", start=0, end=20)["toggle_count"] > 0
+        with pytest.raises(SignalNotFoundError):
+            client.query(signal="nix_nix", start=0, end=1)
+        # Another client finds the server that runs.
+        again = surfaces.Client(f"http://127.0.0.1:{port}", lambda: pytest.fail("a second engine"))
+        assert again.alive() and again._server is None
+        with pytest.raises(AttributeError):
+            client.nothing  # noqa: B018
+    finally:
+        client.close()
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = write(tmp_path, MULTI)
     base = ["--cache", str(tmp_path / "cache")]

@@ -18,7 +18,7 @@ from .schema import InvalidRangeError, SignalNotFoundError
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, cache_dir: str):
+    def __init__(self, spark: SparkSession, cache_dir: str | None = None):
         self.spark, self.catalog = spark, TraceCatalog(spark, cache_dir)
         self._resolved: dict[tuple[str, str], dict] = {}
 
@@ -73,13 +73,18 @@ class Engine:
             return list(dict.fromkeys(asked))
         return [r["signal_name"] for r in names.expand(self.trace.signals, asked, max_expand or 1 << 31).orderBy("place").collect()]
 
-    def resolve(self, wanted: list[str]) -> list[dict]:
-        """signal_id, signal_name and match of each name; ``cached`` says whether it was known."""
+    def _known(self, wanted: list[str]) -> list[str]:
+        """Looks names up, all in one job; returns those that weren't known before."""
         path = self.trace.path
         new = [w for w in dict.fromkeys(wanted) if (path, w) not in self._resolved]
         if new:
             for r in names.resolve(self.trace.signals, new).collect():
                 self._resolved[path, r["requested"]] = r.asDict()
+        return new
+
+    def resolve(self, wanted: list[str]) -> list[dict]:
+        """signal_id, signal_name and match of each name; ``cached`` says whether it was known."""
+        path, new = self.trace.path, self._known(wanted)
         missing = [w for w in wanted if (path, w) not in self._resolved]
         if missing:
             raise SignalNotFoundError(f"signal not found: {missing[0]}")
@@ -113,17 +118,24 @@ class Engine:
         steps.check_range(start, end)
         return start, end
 
+    @staticmethod
+    def _total(found: DataFrame, rows: list, limit: int) -> int:
+        """How many rows there are, counted only where the shown ones aren't all."""
+        return len(rows) if len(rows) < limit else found.count()
+
     # Queries
 
     def query(self, signal: str, start: int | None = None, end: int | None = None, max_changes: int | None = None) -> dict:
         start, end = self._range(start, end)
         one = self._chosen([signal])
-        rows = lookups.query_range(self._wave(one), start, end).orderBy("timestamp", "seq").collect()
+        found = lookups.query_range(self._wave(one), start, end).orderBy("timestamp", "seq")
+        # The initial value comes first, and one change more says whether there are more.
+        rows = (found if max_changes is None else found.limit(max_changes + 2)).collect()
         changes = [(r["timestamp"], r["value_raw"]) for r in rows if r["kind"] == "change"]
         initial = next((r["value_raw"] for r in rows if r["kind"] == "initial"), None)
         out = {"signal": signal, "resolved_signal": one[0]["signal"], "signal_id": one[0]["signal_id"], "start": start, "end": end, "initial_value": initial, "changes": changes}
         if max_changes is not None and len(changes) > max_changes:
-            out |= {"changes": changes[:max_changes], "truncated": True, "total_changes": len(changes)}
+            out |= {"changes": changes[:max_changes], "truncated": True, "total_changes": self._wave(one).where(F.col("timestamp").between(start, end)).count()}
         return out
 
     def query_cycles(self, signal: str, clock: str, start_cycle: int, end_cycle: int, edge: str = "rising") -> dict:
@@ -178,7 +190,7 @@ class Engine:
         one = self._chosen([signal])
         found = lookups.find_stall(self._wave(one), start, end, min_duration).drop("signal_id")
         rows = [r.asDict() for r in found.orderBy(F.desc("duration"), "start_time").limit(max_results).collect()]
-        return {"signal": one[0]["signal"], "search_range": {"start": start, "end": end}, "min_duration_threshold": min_duration, "stall_periods": rows, "total_found": found.count()}
+        return {"signal": one[0]["signal"], "search_range": {"start": start, "end": end}, "min_duration_threshold": min_duration, "stall_periods": rows, "total_found": self._total(found, rows, max_results)}
 
     def find_event(self, signal: str, value: str, start=None, end=None, edge: str = "any", max_results: int = 20, parity: bool = False) -> dict:
         start, end = self._range(start, end)
@@ -193,15 +205,14 @@ class Engine:
         found = lookups.last_activity(self.trace.wave.join(ids.select("signal_id").distinct(), "signal_id", "left_semi")).join(ids, "signal_id")
         order = {"time_desc": [F.desc("last_change_time"), "signal_name"], "time_asc": ["last_change_time", "signal_name"]}.get(sort_by, ["signal_name"])
         rows = found.orderBy(*order).limit(limit).collect()
-        return {"activities": [{"signal": r["signal_name"], "last_change_time": r["last_change_time"], "final_value": r["final_value"]} for r in rows], "total_checked": found.count()}
+        return {"activities": [{"signal": r["signal_name"], "last_change_time": r["last_change_time"], "final_value": r["final_value"]} for r in rows], "total_checked": self._total(found, rows, limit)}
 
     def compare_points(self, wanted, time_a: int, time_b: int) -> dict:
-        chosen, errors = [], []
-        for w in self.expand(wanted):
-            try:
-                chosen += [c for c in self._chosen([w])]
-            except SignalNotFoundError as e:
-                errors.append({"signal": w, "error": str(e)})
+        asked = self.expand(wanted)
+        self._known(asked)
+        known = [w for w in asked if (self.trace.path, w) in self._resolved]
+        chosen = [c for w in known for c in self._chosen([w])]
+        errors = [{"signal": w, "error": f"signal not found: {w}"} for w in asked if w not in known]
         found = {r["signal_id"]: r for r in lookups.compare_points(self._wave(chosen), time_a, time_b).collect()}
         rows = []
         for c in chosen:
@@ -219,7 +230,15 @@ class Engine:
     def find_deadlock(self, time: int, signals: list[str] | None = None, module: str | None = None) -> dict:
         found = diagnose.find_deadlock(self.trace.wave, self.trace.signals, time, signals, module)
         rows = found.orderBy(F.desc("issue_count"), "module").limit(20).collect()
-        return {"time": time, "potential_deadlocks": found.count(), "candidates": [r.asDict() for r in rows]}
+        state = diagnose.watched_state(self.trace.wave, self.trace.signals, time, signals, module)
+        shown: dict[str, dict] = {r["module"]: {} for r in rows}
+        watched = F.lower("leaf").rlike("valid|ready|busy|stall") & F.col("module").isin(list(shown))
+        for r in state.where(watched).orderBy("leaf").collect() if rows else []:
+            shown[r["module"]][r["leaf"]] = r["value"]
+        return {
+            "time": time, "total_signals_checked": state.count(), "potential_deadlocks": self._total(found, rows, 20),
+            "candidates": [{**r.asDict(), "signals": shown[r["module"]]} for r in rows], "note": "Modules with valid=1/ready=0 or busy=1 patterns",
+        }
 
     def trace_dependency(self, signal: str, time: int, direction: str = "backward", max_depth: int = 5) -> dict:
         start = self._chosen([signal])[0]["signal"]

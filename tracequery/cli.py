@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,7 +16,7 @@ from .schema import TraceError
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracequery")
     p.add_argument("--format", choices=("json", "text"), default="json")
-    p.add_argument("--cache", help="folder for ingested traces")
+    p.add_argument("--cache", help="folder for ingested traces; beside the recording by default")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *args: str, ranged: bool = False, **options):
@@ -63,7 +62,7 @@ def default_parser() -> argparse.ArgumentParser:
     p.add_argument("--start", "--from", type=int, dest="start")
     p.add_argument("--end", "--to", type=int, dest="end")
     p.add_argument("--format", choices=("json", "text"), default="json")
-    p.add_argument("--cache", help="folder for ingested traces")
+    p.add_argument("--cache", help="folder for ingested traces; beside the recording by default")
     return p
 
 
@@ -104,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     default = wants_default(argv)
     args = (default_parser() if default else parser()).parse_args(argv)
     spark = spark or SparkSession.builder.appName("tracequery").getOrCreate()
-    engine = Engine(spark, args.cache or tempfile.mkdtemp(prefix="tracequery-"))
+    engine = Engine(spark, args.cache)
     if default:
         return _inspect_files(engine, args)
     if args.command == "serve":

@@ -38,11 +38,16 @@ def busy_tree(wave: DataFrame, signals: DataFrame, root: str, time: int, pattern
     return found.select("signal_name", "value", (F.col("value") == "1").alias("is_busy"), depth(name).cast("long").alias("depth"))
 
 
-def find_deadlock(wave: DataFrame, signals: DataFrame, time: int, patterns: list[str] | None = None, within: str | None = None) -> DataFrame:
-    """(module, issue_count, issues): modules with valid = 1 against ready = 0, or busy = 1, at a time."""
+def watched_state(wave: DataFrame, signals: DataFrame, time: int, patterns: list[str] | None = None, within: str | None = None) -> DataFrame:
+    """(module, leaf, value) of the signals that a deadlock search looks at."""
     name = F.col("signal_name")
     tests = [f".*{within}.*{p}" if within else p for p in patterns or WATCHED]
-    state = snapshot(wave, signals, time, _any(name.rlike(t) for t in tests)).select(module(name).alias("module"), leaf(name).alias("leaf"), "value")
+    return snapshot(wave, signals, time, _any(name.rlike(t) for t in tests)).select(module(name).alias("module"), leaf(name).alias("leaf"), "value")
+
+
+def find_deadlock(wave: DataFrame, signals: DataFrame, time: int, patterns: list[str] | None = None, within: str | None = None) -> DataFrame:
+    """(module, issue_count, issues): modules with valid = 1 against ready = 0, or busy = 1, at a time."""
+    state = watched_state(wave, signals, time, patterns, within)
     ready = state.where("value = '0'").select("module", F.col("leaf").alias("partner"))
     partner = F.replace(F.replace(F.col("leaf"), F.lit("valid"), F.lit("ready")), F.lit("Valid"), F.lit("Ready"))
     valid = state.where(F.lower("leaf").contains("valid") & (F.col("value") == "1")).withColumn("partner", partner)

@@ -49,12 +49,14 @@ class TraceCatalog:
     """Loads files into a cache folder and keeps them by path; the last one loaded is current.
 
     The cache of a file is used as long as the file's size and time and the
-    version of the layout stay.  Changes are sorted by signal and time, so a
-    query of a few signals reads few row groups.
+    version of the layout stay.  Without a cache folder, it lies in a folder
+    beside the recording.  Every written file has the changes of a time range,
+    sorted by signal and time, so a query of a few signals or of a short time
+    reads few pages; the recording is parsed once and nothing is shuffled.
     """
 
-    def __init__(self, spark: SparkSession, cache_dir: str):
-        self.spark, self.cache_dir = spark, cache_dir.rstrip("/")
+    def __init__(self, spark: SparkSession, cache_dir: str | None = None):
+        self.spark, self.cache_dir = spark, cache_dir and cache_dir.rstrip("/")
         self.traces: dict[str, Trace] = {}
         self.current: str | None = None
         vcd.register(spark)
@@ -74,16 +76,16 @@ class TraceCatalog:
 
     def _ingest(self, path: str, cache: str, fingerprint: str, shards: int | None) -> None:
         if path.lower().endswith(".fst"):
-            wave = self.spark.read.format("fst").option("path", path).load()
+            wave = self.spark.read.format("fst").option("path", path).load().sortWithinPartitions("signal_id", "timestamp", "seq")
             r = fst.read_recording(path)
             names, about = r.names, ("fst", r.version or None, r.date or None, None, 10.0**r.exponent, r.exponent, r.start, r.end, len(r.names), r.max_handle)
         else:
             system, inner = vcd.open_path(path)
             shards = shards or shard_count(system.get_file_info(inner).size, self.spark.sparkContext.defaultParallelism)
-            wave = self.spark.read.format("vcd").option("path", path).option("shards", shards).load()
+            wave = self.spark.read.format("vcd").option("path", path).option("shards", shards).option("by_signal", True).load()
             head = vcd.read_header(path)
             names, about = head.names, ("vcd", head.version, head.date, head.timescale, vcd.timescale_seconds(head.timescale), vcd.timescale_exponent(head.timescale), None, None, len(head.names), None)
-        wave.repartitionByRange("signal_id", "timestamp", "seq").sortWithinPartitions("signal_id", "timestamp", "seq").write.mode("overwrite").parquet(f"{cache}/wave")
+        wave.write.mode("overwrite").parquet(f"{cache}/wave")
         self.spark.createDataFrame([tuple(n[c] for c in SIGNALS.names) for n in names], SIGNALS).coalesce(1).write.mode("overwrite").parquet(f"{cache}/signals")
         lo, hi = self.spark.read.schema(WAVE).parquet(f"{cache}/wave").agg(F.min("timestamp"), F.max("timestamp")).first()
         row = (*about[:6], lo if about[6] is None else about[6], hi if about[7] is None else about[7], *about[8:], path, fingerprint)
@@ -92,7 +94,8 @@ class TraceCatalog:
 
     def load(self, path: str, shards: int | None = None, force: bool = False) -> Trace:
         fingerprint = self._fingerprint(path)
-        cache = f"{self.cache_dir}/{re.sub(r'[^A-Za-z0-9_.-]', '_', path.rsplit('/', 1)[-1])}-{fingerprint}"
+        folder = self.cache_dir or f"{path.rsplit('/', 1)[0] if '/' in path else '.'}/.tracequery"
+        cache = f"{folder}/{re.sub(r'[^A-Za-z0-9_.-]', '_', path.rsplit('/', 1)[-1])}-{fingerprint}"
         fresh = False
         if not force:
             try:

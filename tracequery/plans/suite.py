@@ -6,14 +6,19 @@ rows.  Times are microseconds within the events' month.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import depth, leaf, module, ratio, scalar_code
 from ..operators import cycles, diagnose, lookups, names, semantics, steps, traces
-from ..sources import tables
+from ..sources import tables, vcd
 
 START, END, AT = 1_704_500_000_000_000, 1_706_000_000_000_000, 1_705_363_200_000_000
 SLICE = 200_000_000_000
@@ -482,6 +487,41 @@ def cycle_samples(spark, sf_dir):
     return cycles.samples(_wave(spark, sf_dir), cycles.cycle_table(_clocks(spark, sf_dir), slice_ticks=SLICE))
 
 
+# The VCD source
+
+
+def _written(spark, wave, signals) -> str:
+    """The trace as a VCD file in the folder that all executors share; the path of the file."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tracequery-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    folder = f"{folder.rstrip('/')}/vcd-{uuid.uuid4().hex}"
+    change = F.concat(F.lit("#"), F.col("timestamp").cast("string"), F.lit("\ns"), F.col("value_raw"), F.lit(" c"), F.col("signal_id").cast("string"))
+    wave.orderBy("timestamp", "seq").select(change).write.text(f"{folder}/parts")
+    names = signals.orderBy("signal_id").collect()
+    system, inner = vcd.open_path(folder)
+    with system.open_output_stream(f"{inner}/trace.vcd") as out:
+        out.write("".join(["$timescale 1us $end\n", *(f"$var string 1 c{r.signal_id} {r.signal_name} $end\n" for r in names), "$enddefinitions $end\n"]).encode())
+        for part in sorted(f.path for f in system.get_file_info(FileSelector(f"{inner}/parts")) if f.base_name.startswith("part-")):
+            with system.open_input_stream(part) as more:
+                while piece := more.read(1 << 20):
+                    out.write(piece)
+    return f"{folder}/trace.vcd"
+
+
+@_query("vcd_round_trip", _TRACE + f"z AS (SELECT 1) SELECT signal_name, row_number() {_W} - 1 AS place, timestamp, value_raw FROM w")
+def vcd_round_trip(spark, sf_dir):
+    """The event trace, written as a VCD file and read by the source in several ranges."""
+    path = _written(spark, _wave(spark, sf_dir), _signals(spark))
+    vcd.register(spark)
+    read = spark.read.format("vcd").option("path", path).option("shards", 5)
+    place = (F.row_number().over(steps.by_signal()) - 1).cast("long")
+    found = read.load().withColumn("place", place)
+    known = read.option("table", "signals").load().select("signal_id", "signal_name")
+    return found.join(F.broadcast(known), "signal_id").select("signal_name", "place", "timestamp", "value_raw")
+
+
 # Diagnostics
 
 _AT_T = f"v AS (SELECT signal_id, arg_max(value_raw, (timestamp, seq)) AS value FROM w WHERE timestamp <= {AT} GROUP BY signal_id), n AS (SELECT signal_name, regexp_replace(signal_name, '\\.[^.]*$', '') AS module, regexp_extract(signal_name, '[^.]*$') AS leaf, value FROM s JOIN v USING (signal_id)),"

@@ -60,11 +60,13 @@ class Header:
 
 def parse_header(data: bytes) -> Header | None:
     """The header of a file that starts with these bytes; None if they end before it does."""
-    end = re.search(rb"\$enddefinitions\s+\$end", data)
-    if not end:
+    # Comments may hold anything; blanks keep the places of what follows.
+    plain = re.sub(rb"\$comment\b.*?\$end\b", lambda m: b" " * len(m[0]), data, flags=re.DOTALL)
+    end = re.search(rb"\$enddefinitions\s+\$end", plain)
+    if not end or b"$comment" in plain[: end.start()]:
         return None
     head, scopes = Header(), []
-    for word, rest in re.findall(r"\$(\w+)\s(.*?)\$end", data[: end.start()].decode("utf-8", "replace") + "\n", re.DOTALL):
+    for word, rest in re.findall(r"\$(\w+)\s(.*?)\$end", plain[: end.start()].decode("utf-8", "replace") + "\n", re.DOTALL):
         parts = rest.split()
         text = " ".join(parts) or None
         if word in ("date", "version", "timescale"):
@@ -93,12 +95,15 @@ def read_header(path: str) -> Header:
     system, inner = open_path(path)
     try:
         with system.open_input_file(inner) as f:
-            data = b""
+            data, seen = bytearray(), 0
             while more := f.read(1 << 20):
                 data += more
-                if (head := parse_header(data)) is not None and (head.body < len(data) or not f.read(1)):
+                # Only parsed where the end may have come.
+                if data.find(b"$enddefinitions", seen) >= 0 and (head := parse_header(bytes(data))) is not None and (head.body < len(data) or not f.read(1)):
                     return head
+                seen = max(0, len(data) - 64) if data.find(b"$enddefinitions", seen) < 0 else seen
                 f.seek(len(data))
+            data = bytes(data)
     except (FileNotFoundError, OSError) as e:
         raise LoadError(f"can't read {path}: {e}") from e
     if (head := parse_header(data)) is not None:
@@ -135,6 +140,15 @@ def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes()))
 
 
+def _floats(texts: pa.Array) -> np.ndarray:
+    """Texts as numbers; nan where they are none."""
+    try:
+        return np.asarray(pc.cast(texts, pa.float64()))
+    except pa.ArrowInvalid:
+        number = pc.match_substring_regex(texts, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i)[+-]?(inf|infinity|nan)$")
+        return np.asarray(pc.cast(pc.if_else(number, texts, pa.scalar("nan", texts.type)), pa.float64()))
+
+
 class Body:
     """Parses pieces of a body in order, carrying the time on."""
 
@@ -142,14 +156,15 @@ class Body:
         codes = list(ids)
         self.codes = pa.array(codes, pa.large_string())
         self.numbers = np.array([ids[c] for c in codes] or [0], np.int64)
-        self.by_length = sorted(((c.encode(), n) for c, n in ids.items()), key=lambda x: -len(x[0]))
+        self.by_code = {c.encode(): n for c, n in ids.items()}
+        self.lengths = sorted({len(c) for c in self.by_code}, reverse=True)
         self.time = 0
 
     def _suffix(self, line: bytes) -> tuple[int, bytes] | None:
         """The longest declared code that ends a line after something else."""
-        for code, number in self.by_length:
-            if len(code) < len(line) and line.endswith(code):
-                return number, line[: -len(code)]
+        for n in self.lengths:
+            if n < len(line) and (number := self.by_code.get(line[-n:])) is not None:
+                return number, line[:-n]
         return None
 
     def parse(self, raw: bytes, offset: int) -> pa.Table:
@@ -218,11 +233,8 @@ class Body:
             scalar[np.asarray(pc.equal(low, text)).astype(bool)] = number
         real = kind == REAL
         reals = np.full(len(good), np.nan)
-        for i in np.flatnonzero(real).tolist():
-            try:
-                reals[i] = float(values[i].as_py())
-            except ValueError:
-                pass
+        if real.any():
+            reals[real] = _floats(values.filter(pa.array(real)))
         return pa.table(
             [
                 pa.array(clock[good]), pa.array(offset + starts[good], pa.int64()), pa.array(signal[good], pa.int64()), values.cast(pa.string()), pa.array(kind, pa.int8()),
@@ -238,8 +250,8 @@ class Range(InputPartition):
 
 
 class _WaveReader(DataSourceReader):
-    def __init__(self, path: str, shards: int | None, shard_bytes: int):
-        self.path = path
+    def __init__(self, path: str, shards: int | None, shard_bytes: int, by_signal: bool = False):
+        self.path, self.by_signal = path, by_signal
         head = read_header(path)
         self.ids, self.body = head.ids, head.body
         system, inner = open_path(path)
@@ -250,6 +262,21 @@ class _WaveReader(DataSourceReader):
         return [Range(a, b) for a, b in cuts(self.path, self.body, self.shards)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not self.by_signal:
+            for piece in self._pieces(partition):
+                yield from piece.to_batches(64 << 10)
+            return
+        # The pieces come in order, so a stable sort by signal leaves each signal's changes in theirs.
+        pieces = list(self._pieces(partition))
+        if pieces:
+            signal = np.concatenate([np.asarray(p.column("signal_id")) for p in pieces])
+            order = np.argsort(signal, kind="stable")
+            whole = pa.concat_tables(pieces).combine_chunks()
+            del pieces
+            for lo in range(0, len(order), 64 << 10):
+                yield from whole.take(pa.array(order[lo : lo + (64 << 10)])).to_batches()
+
+    def _pieces(self, partition: Range) -> Iterator[pa.Table]:
         body, at, tail = Body(self.ids), partition.start, b""
         system, inner = open_path(self.path)
         with system.open_input_file(inner) as f:
@@ -264,7 +291,7 @@ class _WaveReader(DataSourceReader):
                 stop = len(piece) if left <= 0 else piece.rfind(b"\n") + 1
                 piece, tail = piece[:stop], piece[stop:]
                 if piece:
-                    yield from body.parse(piece, at).to_batches(64 << 10)
+                    yield body.parse(piece, at)
                 at += stop
 
 
@@ -277,7 +304,11 @@ class _NameReader(DataSourceReader):
 
 
 class VcdSource(DataSource):
-    """``spark.read.format("vcd").load(path)``; options: table (wave or signals), shards, shard_bytes."""
+    """``spark.read.format("vcd").load(path)``; options: table (wave or signals), shards, shard_bytes, by_signal.
+
+    With ``by_signal`` each range's changes come by signal, and by time for each
+    signal; a range is then held by its task, so cut ranges small.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -294,7 +325,7 @@ class VcdSource(DataSource):
         if self._table() == "signals":
             return _NameReader(path)
         shards = self.options.get("shards")
-        return _WaveReader(path, int(shards) if shards else None, int(self.options.get("shard_bytes", 64 << 20)))
+        return _WaveReader(path, int(shards) if shards else None, int(self.options.get("shard_bytes", 64 << 20)), self.options.get("by_signal", "false").lower() == "true")
 
 
 def register(spark) -> None:

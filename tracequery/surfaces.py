@@ -11,7 +11,9 @@ import sys
 import threading
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.error import HTTPError
+from urllib.parse import parse_qs, urlencode, urlsplit
+from urllib.request import Request, urlopen
 
 from .api import Engine
 from .schema import InvalidRangeError, LoadError, NotLoadedError, SignalNotFoundError, TraceError
@@ -58,7 +60,9 @@ TOOLS = {
 
 
 def call(engine: Engine, method: str, takes: dict, given: dict) -> dict:
-    """Calls an engine method with defaults filled in; unknown and missing arguments are errors."""
+    """Calls an engine method with defaults filled in; unknown and missing arguments are errors; ``file_path`` may be said for ``path``."""
+    if "path" in takes and "file_path" in given:
+        given = {**{k: v for k, v in given.items() if k != "file_path"}, "path": given["file_path"]}
     if unknown := set(given) - set(takes):
         raise InvalidRangeError(f"unknown arguments: {', '.join(sorted(unknown))}")
     if missing := [k for k, v in takes.items() if v is REQUIRED and given.get(k) is None]:
@@ -177,6 +181,55 @@ class Waveform:
         return run
 
 
+class Client:
+    """The engine behind an HTTP server, which it starts unless one answers there already.
+
+    Methods are the endpoints' names and take their arguments; ``ensure_loaded``
+    loads a file unless it is the current one.
+    """
+
+    def __init__(self, url: str = "http://127.0.0.1:8000", engine: Callable[[], Engine] | None = None, timeout: float = 600):
+        self.url, self.timeout, self._server = url.rstrip("/"), timeout, None
+        if engine is not None and not self.alive():
+            parts = urlsplit(self.url)
+            self._server = http_server(engine(), parts.hostname or "127.0.0.1", parts.port or 80)
+            threading.Thread(target=self._server.serve_forever, daemon=True).start()
+
+    def alive(self) -> bool:
+        try:
+            return "status" in self.call("health")
+        except OSError:
+            return False
+
+    def call(self, endpoint: str, **arguments) -> dict:
+        verb = ENDPOINTS[f"/{endpoint}"][0]
+        query = "?" + urlencode({k: v for k, v in arguments.items() if v is not None}) if verb == "GET" and arguments else ""
+        body = json.dumps(arguments).encode() if verb == "POST" else None
+        request = Request(f"{self.url}/{endpoint}{query}", body, {"Content-Type": "application/json"}, method=verb)
+        try:
+            with urlopen(request, timeout=self.timeout) as answer:
+                return json.loads(answer.read())
+        except HTTPError as e:
+            kind = {404: SignalNotFoundError, 400: InvalidRangeError}.get(e.code, TraceError)
+            raise kind(json.loads(e.read() or b"{}").get("detail", str(e))) from None
+
+    def ensure_loaded(self, path: str) -> dict:
+        status = self.call("health")
+        return status if status.get("loaded_file") == path else self.call("load", path=path)
+
+    def __getattr__(self, name: str):
+        if f"/{name}" not in ENDPOINTS:
+            raise AttributeError(name)
+        return lambda **arguments: self.call(name, **arguments)
+
+    def close(self) -> None:
+        """Stops the server if this client started it."""
+        if self._server is not None:
+            self._server.shutdown()
+            self._server.server_close()
+            self._server = None
+
+
 def inspect(engine: Engine, path: str, signals, **options) -> dict:
     return Waveform(engine, path).inspect(signals, **options)
 
@@ -185,4 +238,4 @@ def probe(engine: Engine, path: str, signals, **options) -> dict:
     return Waveform(engine, path).probe(signals, **options)
 
 
-__all__ = ["ENDPOINTS", "TOOLS", "LoadError", "Waveform", "call_tool", "http_server", "inspect", "probe", "serve_tools", "tool_list"]
+__all__ = ["ENDPOINTS", "TOOLS", "Client", "LoadError", "Waveform", "call_tool", "http_server", "inspect", "probe", "serve_tools", "tool_list"]
