@@ -214,6 +214,37 @@ def test_jaccard_join_edges(spark):
     assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 5]
 
 
+def test_keep_one_judges_rows_that_share_an_id(spark):
+    a, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(59))
+    rows = [(1, a), (3, a), (3, "a text of its own that no other row has"), (1, near), (4, None), (4, None), (None, a), (5, ""), (2, near), (7, "once"), (7, "once")]
+    kept = jaccard_join.keep_one(frame(spark, rows)).collect()
+    own = [r.text for r in kept if r.doc_id == 1]
+    assert len(own) == 1 and own[0] in (a, near)
+    assert sorted(((r.doc_id or 0, r.text) for r in kept if r.doc_id != 1), key=repr) == sorted([(0, a), (3, rows[2][1]), (4, None), (5, ""), (7, "once")], key=repr)
+
+
+def test_jaccard_join_of_very_long_texts(spark):
+    rng = random.Random(5)
+    w = [f"w{rng.randrange(10**5)}" for _ in range(50000)]
+    v = [x if rng.random() > 0.01 else "new" for x in w]
+    rows = [(1, " ".join(w)), (2, " ".join(v)), (3, " ".join(reversed(w)))]
+    assert sorted(tuple(r)[::2] for r in jaccard_join.join(frame(spark, rows)).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_large_cells_are_joined_by_rings(spark):
+    """A text that all vary, more or less: one cell of many rings and chunks."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 9])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.join(frame(spark, rows).repartition(3), block_size=12).drop("class_size")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_join(rows)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_cells_connect_as_all_pairs_do(seed):
     rng = np.random.default_rng(seed)
@@ -484,3 +515,26 @@ def test_scratch_tables_are_written_once_and_cleared(spark):
     assert Path(path).exists()
     scratch.clear(spark)
     assert not Path(path).exists() and not scratch._written
+
+
+def test_pipeline_stages_on_nulls_and_an_empty_table(spark):
+    import corpus_pipeline
+
+    src = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string"
+    rows = [(1, None, None, None, None, "k", "c"), (None, "a b", "en", None, 3, None, None), (None, None, None, "s", None, None, None), (2, "", "", "s", 0, "k", "c"), (2, "", "", "s", 0, "k", "c"), (3, "x " * 20000, "en", "s", 40000, None, "c")]
+    docs = frame(spark, rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, docs, src), stage(spark, docs.where("false"), src)
+        assert empty.count() == 0 and empty.columns == out.columns
+        if name != "packing":
+            assert out.columns == docs.columns
+        got = out.collect()
+        if name == "quality":
+            assert got == []
+        elif name == "near_duplicates":
+            assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(1, ""), (0, "a b"), (0, ""), (2, ""), (3, rows[5][1])])
+        elif name in ("repeated_passages", "decontamination"):
+            assert len(got) == len(rows)
+        else:
+            assert {r.doc_id for r in got} == {1, 2, 3, None}

@@ -17,9 +17,12 @@ more than two radii farther, until cells are small, and pairs are compared
 exactly.  A pair that earlier links already connect isn't compared again.
 
 A cell with more than ``block_bytes`` of shingles or ``block_size`` members is
-cut into blocks, each a task that knows the pivot.  Pairs across blocks that
-the pivot's ball doesn't connect are compared by (block of classes outside the
-ball, block) tasks, so no task holds more than two blocks.
+cut into blocks, each a task that measures the distances to the pivot.  Its
+members are then dealt by distance, in rings a quarter of the radius wide, and
+rings into chunks.  By the triangle inequality only rings within a radius of
+each other can hold linked classes; chunks of such rings meet, two in a task,
+unless both lie in the pivot's ball, which is connected already.  So no task
+holds more than two chunks.
 
 What moves is packed.  A shingle that a task meets in many classes is sent
 once, as a mark, and its classes are told by the task itself, so a shingle of
@@ -292,50 +295,52 @@ class Cell:
                 self.compare(members[outside], members[ball], full[outside], full[ball])
 
 
-_LINKS = "a long, b long, pivot long, block int, cls long, d double"
+_LINKS = "a long, b long, pivot long, cls long, d double"
 
 
-def _row_batch(a, b, pivot, block, cls, d) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "pivot": pa.array(pivot, pa.int64()), "block": pa.array(block, pa.int32()), "cls": pa.array(cls, pa.int64()), "d": pa.array(d, pa.float64())})
+def _row_batch(a, b, pivot, cls, d) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "pivot": pa.array(pivot, pa.int64()), "cls": pa.array(cls, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
 def _cell_of(table: pa.Table, percent: int) -> Cell:
     return Cell(np.asarray(table.column("cls")), np.asarray(table.column("size")), table.column("shared").to_pylist(), percent)
 
 
+def _linked(cell: Cell) -> pa.Table:
+    none = [None] * len(cell.links)
+    return _row_batch([int(cell.names[i]) for i, _ in cell.links], [int(cell.names[j]) for _, j in cell.links], none, none, none)
+
+
 def join_block(table: pa.Table, percent: int) -> pa.Table:
-    """Links of one block of a pivot's cell; of a cell with more blocks also every member's distance to the pivot."""
+    """Links of a pivot's cell; of a block of a cell with more of them the pivot's links and every member's distance."""
     cell = _cell_of(table, percent)
-    pivot, block, n_blocks = table.column("pivot")[0].as_py(), table.column("block")[0].as_py(), table.column("n_blocks")[0].as_py()
+    pivot, n_blocks = table.column("pivot")[0].as_py(), table.column("n_blocks")[0].as_py()
     members = np.arange(len(cell.names))
     at = int(np.flatnonzero(cell.names == pivot)[0])
     linked, d = cell.measure(at, members)
     cell.connect(at, members[linked & (members != at)])
-    cell.join(members, d[:, None])
-    a = [int(cell.names[i]) for i, _ in cell.links]
-    b = [int(cell.names[j]) for _, j in cell.links]
-    n = len(a)
-    out = _row_batch(a, b, [None] * n, [None] * n, [None] * n, [None] * n)
     if n_blocks == 1:
-        return out
+        cell.join(members, d[:, None])
+        return _linked(cell)
     others = members[members != at]
-    n = len(others)
-    return pa.concat_tables([out, _row_batch([None] * n, [None] * n, [pivot] * n, [block] * n, cell.names[others], d[others])])
+    none = [None] * len(others)
+    return pa.concat_tables([_linked(cell), _row_batch(none, none, [pivot] * len(others), cell.names[others], d[others])])
 
 
-def join_across(table: pa.Table, percent: int) -> pa.Table:
-    """Links between classes outside the pivot's ball (side 0) and another block (side 1)."""
+def join_chunks(table: pa.Table, percent: int) -> pa.Table:
+    """Links between two chunks of a cell (sides 0 and 1), or within one (side 0 only)."""
     cell = _cell_of(table, percent)
     side, d = np.asarray(table.column("side")), np.asarray(table.column("d"))[:, None]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    inner = right[d[right, 0] <= 1 - percent / 100]
+    inner = np.flatnonzero(d[:, 0] <= 1 - percent / 100)
     if len(inner):
         # The ball is connected through the pivot, which isn't here.
         cell.group[inner] = inner[0]
-    cell.compare(left, right, d[left], d[right])
-    n = len(cell.links)
-    none = [None] * n
-    return _row_batch([int(cell.names[i]) for i, _ in cell.links], [int(cell.names[j]) for _, j in cell.links], none, none, none, none)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(right):
+        cell.compare(left, right, d[left], d[right])
+    else:
+        cell.join(left, d)
+    return _linked(cell)
 
 
 def _by_key(packed: DataFrame, n: int, work, schema: str) -> DataFrame:
@@ -350,17 +355,25 @@ def _by_key(packed: DataFrame, n: int, work, schema: str) -> DataFrame:
     return packed.repartition(n, "key").groupBy("key").applyInArrow(grouped, schema)
 
 
+def text_key():
+    """Tells rows of one id apart; equal texts are equal rows."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and cls (null where there are no shingles) of each row."""
+    """doc_id, text_key, n_shingles and cls (null where there are no shingles) of each row."""
 
     def told(batches):
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
                 doc, h, _ = shingles(block, k)
                 size, cls = set_classes(doc, h, block.n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.lo, block.n), pa.array(size, pa.int64()), pa.array(cls.view(np.int64), mask=size == 0)], ["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(block.lo, block.n) for c in ("doc_id", "text_key")), pa.array(size, pa.int64()), pa.array(cls.view(np.int64), mask=size == 0)], ["doc_id", "text_key", "n_shingles", "cls"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(told, "doc_id long, n_shingles long, cls long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return rows.mapInArrow(told, "doc_id long, text_key long, n_shingles long, cls long")
 
 
 def candidates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -403,26 +416,32 @@ def links(found: DataFrame, percent: int = PERCENT, block_size: int = BLOCK_SIZE
     rows = placed.union(pivots).join(sets, "cls").select("pivot", "block", "n_blocks", "cls", "size", "shared")
     inside = scratch.cut(rows.groupBy("pivot", "block").applyInArrow(lambda t: join_block(t, percent), _LINKS), "join-links")
     own = inside.where("a is not null").select("a", "b")
-    away = inside.where("cls is not null").select("pivot", "block", "cls", "d")
+    away = inside.where("cls is not null").select("pivot", "cls", "d")
     if away.isEmpty():
         return own
-    # Classes outside the ball, in chunks of their own, meet every block of their cell.
+    # Rings by distance, a quarter of the radius wide, in chunks of at most a block.
     radius = 1 - percent / 100
-    outer = away.where(F.col("d") > radius)
-    chunks = outer.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("n_chunks"))
-    outer = outer.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("cls", F.lit(1)), "n_chunks").cast("int").alias("from"), "cls", "d")
-    outer = scratch.cut(outer, "join-outer")
-    blocks = cells.where("n_blocks > 1").select("pivot", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to"))
-    meets = outer.join(blocks, "pivot").select("pivot", "from", "to", "cls", "d", F.lit(0).alias("side"))
-    spread = outer.groupBy("pivot", "from").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    others = away.withColumnRenamed("block", "to").join(spread, "pivot").where((F.col("d") >= F.col("lo") - radius - 1e-9) & (F.col("d") <= F.col("hi") + radius + 1e-9))
-    across = meets.unionByName(others.select("pivot", "from", "to", "cls", "d", F.lit(1).alias("side"))).join(sets, "cls")
-    met = across.select("pivot", "from", "to", "side", "cls", "d", "size", "shared").groupBy("pivot", "from", "to").applyInArrow(lambda t: join_across(t, percent), _LINKS)
-    return own.union(scratch.cut(met.where("a is not null").select("a", "b"), "join-across"))
-
-
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_size: int = BLOCK_SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, class_size (rows with its shingle set)."""
+    ringed = away.join(width, "cls").withColumn("ring", F.floor(F.col("d") / (radius / 4)).cast("int"))
+    rings = ringed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("d").alias("far"))
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_size), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    rings = scratch.cut(rings.select("pivot", "ring", "far", n_chunks.alias("n_chunks")), "join-rings")
+    dealt = ringed.join(rings.drop("far"), ["pivot", "ring"]).select("pivot", "ring", F.pmod(F.xxhash64("cls", "pivot"), "n_chunks").cast("int").alias("chunk"), "cls", "d")
+    dealt = scratch.cut(dealt, "join-dealt")
+    chunks = rings.select("pivot", "ring", "far", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
+    # A chunk meets those of its ring and of rings nearer to the pivot by a radius at most, if it has classes outside the ball.
+    other = chunks.select("pivot", F.col("ring").alias("ring2"), F.col("chunk").alias("chunk2"))
+    meet = chunks.where(F.col("far") > radius).join(other, "pivot").where("ring2 between ring - 5 and ring and (ring2 < ring or chunk2 <= chunk)")
+    meet = scratch.cut(meet.select("pivot", "ring", "chunk", "ring2", "chunk2"), "join-meet")
+    same = (F.col("ring") == F.col("ring2")) & (F.col("chunk") == F.col("chunk2"))
+    left = dealt.join(meet, ["pivot", "ring", "chunk"]).select(*meet.columns, "cls", "d", F.lit(0).alias("side"))
+    right = dealt.toDF("pivot", "ring2", "chunk2", "cls", "d").join(meet.where(~same), ["pivot", "ring2", "chunk2"]).select(*meet.columns, "cls", "d", F.lit(1).alias("side"))
+    across = left.union(right).join(sets, "cls").select(*meet.columns, "side", "cls", "d", "size", "shared")
+    met = across.groupBy(*meet.columns).applyInArrow(lambda t: join_chunks(t, percent), _LINKS)
+    return own.union(scratch.cut(met.select("a", "b"), "join-across"))
+
+
+def _joined(docs: DataFrame, k: int, percent: int, block_size: int, block_bytes: int) -> DataFrame:
+    """One row for each document: doc_id, text_key, n_shingles, root (null without shingles), component_id, class_size."""
     rows = scratch.cut(classes(docs, k), "join-classes")
     found = candidates(docs, k, percent)
     roots = components(links(found, percent, block_size, block_bytes), "a", "b")
@@ -430,20 +449,30 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_size:
     named = kinds.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # Written, so that the join below can split a component with a large share of all classes.
     least = scratch.cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "join-least")
-    names = scratch.cut(named.join(least, "root").select("cls", "component_id", "class_size"), "join-names")
-    return rows.join(names, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    names = scratch.cut(named.join(least, "root").select("cls", "root", "component_id", "class_size"), "join-names")
+    return rows.join(names, "cls", "left")
+
+
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_size: int = BLOCK_SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, class_size (rows with its shingle set)."""
+    joined = _joined(docs, k, percent, block_size, block_bytes)
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the one with the smallest id; rows of equal id and text stay once, those without an id stay."""
-    joined = join(docs, k, percent)
-    own = joined.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__tq_id")).agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    own = scratch.cut(own.where((F.col("least") != F.col("__tq_id")) | (F.col("n") > 1)), "join-marked")
-    same = F.col("doc_id").cast("long") == F.col("__tq_id")
+    """One row of each component: of those with the smallest id the one with the smallest text hash.
+
+    Rows that share an id are judged each.  Rows without shingles or without an
+    id stay; rows of equal id and text stay once.
+    """
+    joined = scratch.cut(_joined(docs, k, percent, BLOCK_SIZE, BLOCK_BYTES).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__tq_id"), F.col("text_key").alias("__tq_key"), "root"), "join-rows")
+    me = F.struct("__tq_id", "__tq_key")
+    stays = scratch.cut(joined.where("root is not null").groupBy("root").agg(F.min(me).alias("stays")), "join-stays")
+    same = (F.col("doc_id").cast("long") == F.col("__tq_id")) & (text_key() == F.col("__tq_key"))
     # The documents that go are fewer than those that stay, and known before the texts are read.
-    gone = scratch.cut(own.where(F.col("least") != F.col("__tq_id")).select("__tq_id"), "join-gone")
+    gone = scratch.cut(joined.join(stays, "root").where(me != F.col("stays")).select("__tq_id", "__tq_key").distinct(), "join-gone")
+    again = scratch.cut(joined.groupBy("__tq_id", "__tq_key").count().where("count > 1").select("__tq_id", "__tq_key").join(gone, ["__tq_id", "__tq_key"], "left_anti"), "join-again")
     rows = docs.join(gone, same, "left_anti")
-    again = own.where(F.col("least") == F.col("__tq_id")).select("__tq_id")
     if again.isEmpty():
         return rows
     return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
