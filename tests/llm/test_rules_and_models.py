@@ -185,10 +185,38 @@ def test_language_id_held_out_accuracy_and_odd_texts(spark):
     assert language_id.train(odd.where("lang is null")) is None
 
 
+def test_language_id_of_odd_tables(spark):
+    words = {"a": "alpha beta gamma delta", "b": "one two three four"}
+    docs = [(i, " ".join([words["ab"[i % 2]]] * (1 + i % 5)), "ab"[i % 2], "s") for i in range(60)]
+    model = language_id.train(frame(spark, docs).withColumn("features", F.lit("mine")).withColumn("size", F.lit(1)))
+    rows = frame(spark, [(1, docs[0][1], "b", "s"), (1, docs[0][1], "b", "s"), (2, docs[1][1] + " x" * 200000, None, "s"), (None, "beta delta", "b", "s")])
+    got = language_id.identify(rows.withColumn("score", F.lit(7)).withColumn("accepted", F.lit("no")), model).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 4 and got[0] == got[1] and by[1].lang_pred == "a" and by[None].lang_pred == "a" and by[2].lang_pred in model.langs
+    assert language_id.identify(rows.where("false"), model).count() == 0 and language_id.train(rows.where("false")) is None
+
+
+def test_language_scores_against_definition(spark):
+    docs = [(i, ("der die das " if i % 2 else "the of and ") * (i % 7 + 1), "de" if i % 2 else "en", "s") for i in range(40)]
+    model = language_id.train(frame(spark, docs), buckets=256)
+    for (block,) in ([*textkit.blocks(pa.array([t]))] for t in ("the und", "das of x", "q")):
+        feature, _ = language_id._features(block, 256)
+        z = [sum(float(model.table[f, c]) for f in feature) / len(feature) + model.bias[c] for c in range(2)]
+        e = [math.exp(x / model.temperature) for x in z]
+        best, p = model.predict(block)
+        assert best[0] == int(z[1] > z[0]) and p[0] == pytest.approx(max(e) / sum(e), rel=1e-6)
+    text = "Abc  d\nefgh"
+    (block,) = textkit.blocks(pa.array([text]))
+    # Words, and 3- and 4-grams of bytes whose inner bytes lie in a word.
+    n = sum(not re.search(r"\s", text[i + 1 : i + k - 1]) for k in (3, 4) for i in range(len(text) - k + 1))
+    assert len(language_id._features(block, 256)[0]) == 3 + n
+
+
 def test_language_sample_is_bounded(spark):
     docs = frame(spark, [(i, f"t{i}", "a" if i % 3 else "b", "s") for i in range(400)])
     got = Counter(r.lang for r in language_id.sample(docs, 20).collect())
     assert got == {"a": 20, "b": 20}
+    assert Counter(r.lang for r in language_id.sample(docs, 20, most=10).collect()) == {"a": 5, "b": 5}
 
 
 def test_importance_prefers_the_target_and_picks_exactly_k(spark):
@@ -218,6 +246,21 @@ def test_importance_scores_against_definition(spark):
         assert r.log_importance == pytest.approx(sum(ratios[g] for g in grams(docs[r.doc_id][1])))
 
 
+def test_importance_selection_against_sorting(spark):
+    """The whole query's choice: the k largest keys, all of those equal to the last."""
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "d"], rng.integers(0, 30))), "en", "s") for i in range(150)]
+    docs += [docs[3]] * 20 + [(500, "word " * 100000, "en", "s")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int")
+    table = frame(spark, docs).withColumn("gumbel_key", F.lit("x")).withColumn("row_hash", F.lit(1)).withColumn("selected", F.lit(9))
+    got = importance.resample(table, labels).collect()
+    k = round(30 / 90 * len(docs))
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert len(got) == len(docs) and all(r.selected == (r.gumbel_key >= keys[k - 1]) for r in got)
+    same = [r for r in got if r.doc_id == 3]
+    assert len(same) == 21 and len({(r.gumbel_key, r.selected) for r in same}) == 1
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999, 1000, 2000])
 def test_kth_largest(spark, k):
     rng = np.random.default_rng(k)
@@ -335,6 +378,34 @@ def test_packing_mixes_small_sources_and_honours_their_targets(spark, monkeypatc
             packed(spark, docs, width=64, targets=bad)
 
 
+def test_packing_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rows = [(1, "same text", "x", "a"), (1, "same text", "x", "a"), (2, "long " * 60000, "x", "a"), (None, "no id", "x", None)]
+    docs = frame(spark, rows).withColumns({c: F.lit("mine") for c in ("part", "queue", "base", "before", "chunk", "ids", "n_tokens")})
+    got = packing.pack(docs, P.path("word_bpe_49k.json"), width=256).collect()
+    sizes, by_seq = Counter(), defaultdict(list)
+    for p in got:
+        sizes[p.doc_id] += p.length
+        by_seq[p.sequence_id].append((p.offset, p.length))
+    first = next(p for p in got if p.doc_id == 1)
+    assert sizes[1] == 2 * first.doc_tokens and sizes[2] == 60001 and sizes[None] == next(p for p in got if p.doc_id is None).doc_tokens
+    for pieces in by_seq.values():
+        upto = 0
+        for offset, length in sorted(pieces):
+            assert offset == upto
+            upto += length
+
+
+def test_token_counts_of_odd_tables(spark):
+    P = pytest.importorskip("public_tokenizers")
+    count = lambda df: token_counts.count(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    rows = [(1, "a b\n\nc", "x", "s"), (1, "a b\n\nc", "x", "s"), (2, "word " * 100000, "x", "s"), (None, "z", "x", "s")]
+    docs = frame(spark, rows).withColumns({c: F.lit("mine") for c in ("section", "n_tokens", "doc_tokens", "start_char")})
+    got = count(docs)
+    assert sum(r.doc_id == 1 for r in got) == 2 * len({r.section for r in got if r.doc_id == 1}) and sum(r.n_tokens for r in got if r.doc_id == 2) == 100001
+    assert any(r.doc_id is None for r in got) and count(docs.where("false")) == []
+
+
 def test_packing_gives_unnamed_sources_the_rest(spark):
     docs = [(i, "alpha beta gamma " * 50, "x", "abc"[i % 3]) for i in range(60)]
     pieces, ids = packed(spark, docs, width=64, targets={"a": 0.75})

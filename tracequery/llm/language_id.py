@@ -7,7 +7,10 @@ are trained together by stochastic gradient descent.  Since prediction is
 linear in the mean, the product of embedding and weights is what is shared.
 
 Training uses a bounded sample: for each language the ``per_language``
-documents with the smallest hash of their ids, whole texts.  A fifth of it is
+documents with the smallest hash of their ids, and fewer where ``most`` divided
+by the number of languages is less.  Whole texts become counts of features where
+they are read, so a text of any length is at most ``buckets`` numbers, and texts
+don't reach the driver.  A fifth of it is
 set aside to fit one temperature, which calibrates the probabilities, and the
 threshold below which predictions are marked as not accepted: the ``reject``
 quantile of the probabilities of its right answers.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textkit as tk
 
-BUCKETS, DIM, PER_LANGUAGE, REJECT = 1 << 15, 16, 600, 0.005
+BUCKETS, DIM, PER_LANGUAGE, MOST, REJECT = 1 << 15, 16, 600, 20_000, 0.005
 UNKNOWN = "und"
 
 
@@ -78,24 +81,19 @@ class Model:
         return p.argmax(axis=1), p.max(axis=1)
 
 
-def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, rate: float = 8.0, reject: float = REJECT, seed: int = 0) -> Model | None:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, rate: float = 8.0, reject: float = REJECT, seed: int = 0) -> Model | None:
+    """Trains on bags of (different features, how often each occurs)."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(bags))
     y = np.array([names.index(v) for v in langs])[order]
-    bags = []
-    for block in tk.blocks(pa.array([texts[i] for i in order], pa.large_string())):
-        feature, doc = _features(block, buckets)
-        by = np.argsort(doc, kind="stable")
-        bags += np.split(feature[by], np.cumsum(np.bincount(doc, minlength=block.n))[:-1])
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     weights, bias = np.zeros((dim, len(names))), np.zeros(len(names))
     held = len(bags) // 5
-    # A bag as its different features and their shares.
-    kinds = [np.unique(b, return_counts=True) for b in bags]
-    kinds = [(u, c / c.sum()) if len(u) else (u, c.astype(float)) for u, c in kinds]
+    # Features and their shares.
+    kinds = [(u, c / max(1, c.sum())) for u, c in (bags[i] for i in order)]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(np.arange(held, len(bags))):
@@ -129,9 +127,10 @@ def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = D
     return model
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """text and lang of at most ``per_language`` documents for each language; ids order the draw and are not features."""
-    known = docs.where("lang is not null and text is not null")
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> DataFrame:
+    """text and lang of at most ``per_language`` documents for each language and about ``most`` altogether; ids order the draw and are not features."""
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    per_language = max(1, min(per_language, most // max(1, known.select("lang").distinct().count())))
     draw = F.xxhash64("doc_id", F.lit(5))
     # Only ids whose hash lies in the share that should give twice the sample meet in a language's window.
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
@@ -143,9 +142,19 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return known.join(picked, (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").select("text", "lang")
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **settings) -> Model | None:
-    rows = sorted((r.lang, r.text) for r in sample(docs, per_language).toLocalIterator())
-    return fit([t for _, t in rows], [v for v, _ in rows], **settings)
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, buckets: int = BUCKETS, **settings) -> Model | None:
+    def bagged(batches):
+        for batch in batches:
+            for block in tk.blocks(batch.column("text")):
+                feature, doc = _features(block, buckets)
+                by = np.argsort(doc, kind="stable")
+                bags = [np.unique(b, return_counts=True) for b in np.split(feature[by], np.cumsum(np.bincount(doc, minlength=block.n))[:-1])]
+                features, counts = ([x.astype(np.int32).tobytes() for x in column] for column in zip(*bags, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(block.lo, block.n), pa.array(features, pa.binary()), pa.array(counts, pa.binary())], ["lang", "features", "counts"])
+
+    bags = sample(docs, per_language, most).mapInArrow(bagged, "lang string, features binary, counts binary")
+    rows = sorted((r.lang, bytes(r.features), bytes(r.counts)) for r in bags.toLocalIterator())
+    return fit([(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for _, f, c in rows], [v for v, _, _ in rows], buckets, **settings)
 
 
 def _lettered(block: tk.Block) -> np.ndarray:

@@ -2,6 +2,9 @@
 
 The folder is ``spark.checkpoint.dir``.  Only where that setting is absent and
 the session runs in one local process is a temporary folder used.
+
+A result that reads such tables needs them until it is stored, so the operators
+and queries don't delete them: whoever stores results calls ``clear`` then.
 """
 
 from __future__ import annotations
@@ -31,6 +34,13 @@ def folder(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
+def _collect_in_jvm(spark: SparkSession) -> None:
+    """Where the driver's JVM can be reached; a session by Spark Connect has none."""
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Writes a frame to the shared folder once and returns the written table; ``by``: columns with a folder for each value."""
     spark = df.sparkSession
@@ -39,7 +49,7 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     # Spark removes the shuffle files of finished jobs once the driver's JVM has collected their plans.
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect_in_jvm(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
