@@ -294,5 +294,5 @@ def test_traces_are_compared_in_few_scans(spark, tmp_path, make_wave, make_names
     make_wave(SIMPLE).write.parquet(path)
     w, names = spark.read.parquet(path), make_names(["clk", "data"])
     plan = traces.metrics({"a": (w, names), "b": (w, names)}, "clk", {"h": ("clk", "data")}, "h", "h")._jdf.queryExecution().executedPlan().toString()
-    # Two for each trace and use: its changes and its end; the adaptive plan shares equal ones when it runs.
-    assert plan.count("FileScan") <= 40 and "CartesianProduct" not in plan
+    # For each trace: its busy signal, its pairs, and its end.
+    assert plan.count("FileScan") == 6 and plan.count("Exchange") <= 40 and "CartesianProduct" not in plan

@@ -11,9 +11,6 @@ from ..functions.values import first_bit
 from .semantics import interval_summary
 from .steps import neighbours, sweep
 
-_GAPS = {"command to busy": "b0 - c0", "busy to response": "r1 - b1", "busy span": "b1 - b0 + 1"}
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 
@@ -45,7 +42,8 @@ def metrics(traces: dict[str, tuple[DataFrame, DataFrame]], busy: str, handshake
     ``traces`` maps a label to (wave, signals).  Metrics are the busy signal,
     each handshake over the whole trace and inside the busy window, the busy
     time inside the command window, and the gaps (in ``total``) from the first
-    command to busy, from busy to the last response, and the busy span.
+    command to busy, from busy to the last response, and the busy span.  The
+    metrics over whole traces are found at once, as the windows need them.
     """
     intervals = _intervals(traces, busy, handshakes, slice_ticks)
     spark = intervals.sparkSession
@@ -55,17 +53,22 @@ def metrics(traces: dict[str, tuple[DataFrame, DataFrame]], busy: str, handshake
         keys = named(spark.createDataFrame([(t, m) for t in traces for m in wanted], "trace string, metric string"))
         return interval_summary(keys, named(found), "key").join(F.broadcast(keys), "key").drop("key")
 
-    whole = summed(intervals, ["busy", *handshakes])
-    at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    windows = whole.groupBy("trace").agg(at("busy", "first").alias("b0"), at("busy", "last").alias("b1"), at(command, "first").alias("c0"), at(command, "last").alias("c1"), at(response, "last").alias("r1"))
+    # A row for each trace and metric: what the windows and gaps are made of.
+    columns = ["trace", "metric", "n", "total", "first", "last", "longest", "average"]
+    whole = [r.asDict() for r in summed(intervals, ["busy", *handshakes]).select(*columns).collect()]
+    at = {(r["trace"], r["metric"]): r for r in whole}
+    rows, bounds = [tuple(r[c] for c in columns) for r in whole], []
+    for t in traces:
+        b0, b1, c0, c1, r1 = (at.get((t, m), {}).get(c) for m, c in (("busy", "first"), ("busy", "last"), (command, "first"), (command, "last"), (response, "last")))
+        bounds += [(t, m, c0 if m == "busy" else b0, c1 if m == "busy" else b1) for m in ["busy", *handshakes]]
+        gap = lambda x, y, more=0: None if x is None or y is None else y - x + more
+        for m, total in (("command to busy", gap(c0, b0)), ("busy to response", gap(b1, r1)), ("busy span", gap(b0, b1, 1))):
+            rows.append((t, m, 0, total, None, None, None, None))
     # Handshakes are cut to the busy window and busy times to the command window, ends inclusive.
-    is_busy = F.col("metric") == "busy"
-    w0, w1 = F.when(is_busy, F.col("c0")).otherwise(F.col("b0")), F.when(is_busy, F.col("c1")).otherwise(F.col("b1"))
-    inside = intervals.join(F.broadcast(windows), "trace").where((F.col("t_start") <= w1) & (F.col("t_end") > w0))
-    name = F.when(is_busy, F.lit("busy in command window")).otherwise(F.concat("metric", F.lit(" in busy window")))
-    inside = inside.select("trace", name.alias("metric"), F.greatest("t_start", w0).alias("t_start"), F.least("t_end", w1 + 1).alias("t_end"))
-    cut = summed(inside, [*(f"{m} in busy window" for m in handshakes), "busy in command window"])
-    gaps = windows.select("trace", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(gap).alias("total")) for m, gap in _GAPS.items()))).alias("g")).select("trace", "g.*")
-    none = F.lit(None).cast("long")
-    gaps = gaps.select("trace", "metric", F.lit(0).cast("long").alias("n"), "total", none.alias("first"), none.alias("last"), none.alias("longest"), F.lit(None).cast("double").alias("average"))
-    return _union([whole, cut, gaps]).select("trace", "metric", "n", "total", "first", "last", "longest", "average")
+    windows = spark.createDataFrame(bounds, "trace string, metric string, w0 long, w1 long")
+    inside = intervals.join(F.broadcast(windows), ["trace", "metric"]).where("t_start <= w1 and t_end > w0")
+    name = F.when(F.col("metric") == "busy", F.lit("busy in command window")).otherwise(F.concat("metric", F.lit(" in busy window")))
+    inside = inside.select("trace", name.alias("metric"), F.greatest("t_start", "w0").alias("t_start"), F.least("t_end", F.col("w1") + 1).alias("t_end"))
+    cut = summed(inside, [*(f"{m} in busy window" for m in handshakes), "busy in command window"]).select(*columns)
+    known = spark.createDataFrame(rows, "trace string, metric string, n long, total long, first long, last long, longest long, average double")
+    return known.unionByName(cut)
