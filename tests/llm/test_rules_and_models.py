@@ -98,7 +98,7 @@ def test_language_model_against_definition(spark, monkeypatch, unit_bytes):
     monkeypatch.setattr(textkit, "blocks", lambda texts, limit=unit_bytes: blocks(texts, limit))
     docs = frame(spark, [(i, t, "x", "s") for i, t in enumerate(LM_TEXTS)])
     want = plain_kneser_ney([t or "" for t in LM_TEXTS])
-    units = quality_rules.write_units(docs.repartition(2))
+    units = quality_rules.write_units(docs.select("doc_id", "lang", "text").repartition(2))
     got = {}
     for r in quality_rules.probabilities(quality_rules.count_grams(units)).collect():
         got[tuple(r.gram >> 16 * j & 0xFFFF for j in reversed(range(4)))] = r.p
@@ -107,7 +107,7 @@ def test_language_model_against_definition(spark, monkeypatch, unit_bytes):
     for g, p in got.items():
         by_context[g[:-1]] += p
     assert all(0 < p <= 1 + 1e-9 for p in by_context.values())
-    for r in quality_rules.measure(docs).collect():
+    for r in quality_rules.measure(units, 2).collect():
         s = [quality_rules.SPACE] * 3 + symbols(LM_TEXTS[r.doc_id] or "")
         costs = [-math.log(want[tuple(s[i - 3 : i + 1])]) for i in range(3, len(s))]
         assert r.n_chars == len(costs) and (r.log_perplexity is None) == (not costs)

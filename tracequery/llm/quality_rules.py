@@ -145,19 +145,28 @@ def _write_rows(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-_UNITS = "unit long, texts binary, grams binary, counts binary"
+def _read_rows(packed) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
+
+
+_UNITS = "unit long, block long, texts binary, grams binary, counts binary"
 
 
 def write_units(docs: DataFrame) -> DataFrame:
-    """Units of text, written once: rows with some of a unit's texts and their figures, and one with its distinct n-grams and document counts."""
+    """Units of text, written once: blocks with some of a unit's rows and their figures, and one row with its distinct n-grams and document counts.
+
+    A block's rows have the columns of ``docs``, then doc_id, lang and the
+    figures of the fixed rules, by place: names may clash.
+    """
+    at_text = docs.columns.index("text")
 
     def cut(batches):
         from pyspark import TaskContext
 
         unit, size, held = TaskContext.get().partitionId() << 32, 0, []
 
-        def row(texts=None, grams=None, counts=None):
-            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), *(pa.array([x], pa.binary()) for x in (texts, grams, counts))], ["unit", "texts", "grams", "counts"])
+        def row(block=None, texts=None, grams=None, counts=None):
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (texts, grams, counts))], ["unit", "block", "texts", "grams", "counts"])
 
         def close():
             grams, of = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
@@ -165,7 +174,7 @@ def write_units(docs: DataFrame) -> DataFrame:
             return row(grams=tk.planes(grams), counts=tk.planes(counts))
 
         for batch in batches:
-            for block in tk.blocks(batch.column("text")):
+            for block in tk.blocks(batch.column(at_text)):
                 if held and size + len(block.data) > UNIT_BYTES:
                     yield close()
                     unit, size, held = unit + 1, 0, []
@@ -175,19 +184,14 @@ def write_units(docs: DataFrame) -> DataFrame:
                 figures = fixed_rules(block)
                 picked = batch.slice(block.lo, block.n)
                 rows = pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(v, pa.int64()) for v in figures.values())], [*picked.schema.names, *figures])
-                yield row(texts=_write_rows(rows))
+                yield row(len(held) - 1, _write_rows(rows))
         if held:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), row_key().alias("row_key"), "text")
+    rows = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("__tq_doc"), F.col("lang").cast("string").alias("__tq_lang"))
     return scratch.cut(rows.mapInArrow(cut, _UNITS), "quality-units")
 
 
-def row_key():
-    """What stands for a row, so that rows which share an id get their own verdicts; equal rows have equal verdicts."""
-    return F.xxhash64("doc_id", "lang", "text")
-
-
 def count_grams(units: DataFrame) -> DataFrame:
     """(gram, n): how many of all documents hold each n-gram."""
 
@@ -284,13 +288,12 @@ def look_up(units: DataFrame, found: DataFrame, n_grams: int) -> DataFrame:
 
 
 _RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCORED = "doc_id long, lang string, row_key long, " + ", ".join(f"{r} long" for r in _RULES) + ", n_chars long, log_perplexity double"
+_SCORED = "doc_id long, lang string, unit long, block long, place long, " + ", ".join(f"{r} long" for r in _RULES) + ", n_chars long, log_perplexity double"
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One row for each document, written: doc_id, lang, row_key, the fixed rules' figures, n_chars, log_perplexity (null without text)."""
-    spark = docs.sparkSession
-    units = write_units(docs)
+def measure(units: DataFrame, at_text: int) -> DataFrame:
+    """One row for each document, written: doc_id, lang, its unit, block and place, the fixed rules' figures, n_chars, log_perplexity (null without text)."""
+    spark = units.sparkSession
     counted = count_grams(units)
     priced = look_up(units, probabilities(counted), counted.count())
     size = units.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
@@ -302,18 +305,20 @@ def measure(docs: DataFrame) -> DataFrame:
         order = np.argsort(grams)
         grams, cost = grams[order], cost[order]
         out = []
-        for packed in texts.column("texts"):
-            rows = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
-            for block in tk.blocks(rows.column("text"), 1 << 62):
+        for unit, number, packed in zip(*(texts.column(c) for c in ("unit", "block", "texts")), strict=True):
+            rows = _read_rows(packed.as_buffer())
+            own = rows.columns[-len(_RULES) - 2 :]
+            for block in tk.blocks(rows.column(at_text), 1 << 62):
                 key, first = gram_keys(block)
                 n = np.diff(first)
                 total = _sums(cost[np.searchsorted(grams, key)], first) if len(key) else np.zeros(block.n)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                out.append(pa.RecordBatch.from_arrays([*(rows.column(c) for c in names[:-2]), pa.array(n, pa.int64()), mean], names))
+                where = [pa.array([unit.as_py()] * len(n), pa.int64()), pa.array([number.as_py()] * len(n), pa.int64()), pa.array(np.arange(len(n)))]
+                out.append(pa.RecordBatch.from_arrays([*own[:2], *where, *own[2:], pa.array(n, pa.int64()), mean], names))
         return pa.Table.from_batches(out)
 
     n = scratch.parts(spark, size, 32_000_000)
-    texts = units.where("texts is not null").select("unit", "texts").repartition(n, "unit").groupBy("unit")
+    texts = units.where("texts is not null").select("unit", "block", "texts").repartition(n, "unit").groupBy("unit")
     return scratch.cut(texts.cogroup(priced.repartition(n, "unit").groupBy("unit")).applyInArrow(scored, _SCORED), "quality-measured")
 
 
@@ -350,20 +355,38 @@ def _deviation(measured: DataFrame, middle: DataFrame) -> DataFrame:
     return joined.withColumn("deviation", (F.col("log_perplexity") - F.col("middle")) * F.sqrt(F.col("n_chars") * SPREAD / (F.col("n_chars") + SPREAD)))
 
 
-def verdicts(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
-    """The rows of ``measure`` with deviation, base_failed and kept."""
-    measured = measure(docs)
+def _verdicts(measured: DataFrame, width: float, least: float) -> DataFrame:
     found = scratch.cut(bands(measured, width, least).coalesce(1), "quality-bands")
     out = _deviation(measured, found).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("deviation").between(F.col("low"), F.col("high")), F.lit(True)))
 
 
+def verdicts(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+    """The rows of ``measure`` with deviation, base_failed and kept."""
+    docs = docs.select("doc_id", "lang", "text")
+    return _verdicts(measure(write_units(docs), 2), width, least)
+
+
 def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """One row for each document: doc_id, lang, the figures, log_perplexity, deviation, base_failed, kept."""
     return verdicts(docs, width, least).select("doc_id", "lang", *_RULES, "log_perplexity", "deviation", "base_failed", "kept")
 
 
 def filter_docs(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
-    """The documents that pass, unchanged; the rejected ones' keys are joined."""
-    gone = scratch.cut(verdicts(docs, width, least).where("not kept").select(F.col("row_key").alias("__tq_gone")).distinct(), "quality-rejected")
-    return docs.join(gone, row_key() == F.col("__tq_gone"), "left_anti")
+    """The documents that pass, unchanged, from the written units; a byte for each document says which of a block stay."""
+    units = write_units(docs)
+    found = _verdicts(measure(units, docs.columns.index("text")), width, least)
+    flag = F.struct("place", F.when(F.col("kept"), "1").otherwise("0").alias("flag"))
+    flags = found.groupBy("unit", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(flag)), lambda x: x["flag"]), "").alias("flags"))
+    # Written, so that its size is known when the join with the texts is planned.
+    flags = scratch.cut(flags.where(F.contains("flags", F.lit("1"))), "quality-flags")
+    n = len(docs.columns)
+
+    def kept(batches):
+        for batch in batches:
+            for packed, flags in zip(batch.column("texts"), batch.column("flags").to_pylist(), strict=True):
+                rows = _read_rows(packed.as_buffer())
+                own = pa.RecordBatch.from_arrays(rows.columns[:n], rows.schema.names[:n])
+                yield own.filter(pa.array(np.frombuffer(flags.encode(), np.uint8) == ord("1")))
+
+    return units.where("texts is not null").select("unit", "block", "texts").join(flags, ["unit", "block"]).select("texts", "flags").mapInArrow(kept, docs.schema)
