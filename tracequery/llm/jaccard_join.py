@@ -468,11 +468,22 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     joined = scratch.cut(_joined(docs, k, percent, BLOCK_SIZE, BLOCK_BYTES).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__tq_id"), F.col("text_key").alias("__tq_key"), "root"), "join-rows")
     me = F.struct("__tq_id", "__tq_key")
     stays = scratch.cut(joined.where("root is not null").groupBy("root").agg(F.min(me).alias("stays")), "join-stays")
-    same = (F.col("doc_id").cast("long") == F.col("__tq_id")) & (text_key() == F.col("__tq_key"))
-    # The documents that go are fewer than those that stay, and known before the texts are read.
-    gone = scratch.cut(joined.join(stays, "root").where(me != F.col("stays")).select("__tq_id", "__tq_key").distinct(), "join-gone")
-    again = scratch.cut(joined.groupBy("__tq_id", "__tq_key").count().where("count > 1").select("__tq_id", "__tq_key").join(gone, ["__tq_id", "__tq_key"], "left_anti"), "join-again")
-    rows = docs.join(gone, same, "left_anti")
+    goes = scratch.cut(joined.join(stays, "root").where(me != F.col("stays")).select("__tq_id", "__tq_key").distinct(), "join-goes")
+    # Rows of an id: how many there are, in how many texts, and how many of these go.
+    ids = joined.groupBy("__tq_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("__tq_key").alias("texts"))
+    ids = ids.join(goes.groupBy("__tq_id").agg(F.count(F.lit(1)).alias("going")), "__tq_id", "left")
+    # The documents that go are fewer than those that stay, and known before the texts are read; most are told by their id alone.
+    gone = scratch.cut(ids.where("going = texts").select("__tq_id"), "join-gone")
+    some = scratch.cut(ids.where("going is null and n > 1 or going < texts").select("__tq_id"), "join-some")
+    same_id = F.col("doc_id").cast("long") == F.col("__tq_id")
+    rows = docs.join(gone, same_id, "left_anti")
+    if some.isEmpty():
+        return rows
+    # Ids with rows that stay beside others.
+    same = same_id & (text_key() == F.col("__tq_key"))
+    rows = rows.join(goes.join(some, "__tq_id", "left_semi"), same, "left_anti")
+    again = joined.join(some, "__tq_id", "left_semi").groupBy("__tq_id", "__tq_key").count().where("count > 1").select("__tq_id", "__tq_key")
+    again = scratch.cut(again, "join-again")
     if again.isEmpty():
         return rows
     return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
